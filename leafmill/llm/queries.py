@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import line_dedup
+from leafmill.llm import cuckoo, decontaminate, line_dedup, near_dedup, secrets
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,4 +17,44 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2(F.col("line_dedup.text"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op7_line_dedup": op7_line_dedup}
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuckoo.exact_dedup(documents(spark, sf_dir))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.decontaminate(documents(spark, sf_dir).select("doc_id", "text"), benchmark, window=10)
+    items = F.col("found.items")
+    return found.select(
+        "doc_id", "found.n_words", "found.n_hit", F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("found.n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(documents(spark, sf_dir))
+    base = F.filter("spans", lambda x: x.kind != "owned")
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",")
+
+    def of(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    def judged(verdict: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x.verdict == verdict)).cast("long").alias(f"n_{verdict}")
+
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), judged("live"), judged("example"))
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), percent=75)
+
+
+QUERIES = {
+    "op3_secret_scan": op3_secret_scan,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_near_dedup": op8_near_dedup,
+}
