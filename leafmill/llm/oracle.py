@@ -30,4 +30,14 @@ covered AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, un
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
 SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN covered ON dw.doc_id = covered.doc_id LEFT JOIN items ON dw.doc_id = items.doc_id""",
+    "op10_substring_dedup": """
+WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, first, array_to_string(w[first : first + 19], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS first FROM dw WHERE len(w) >= 20)),
+again AS (SELECT doc_id, first FROM (SELECT doc_id, first, row_number() OVER (PARTITION BY gram ORDER BY doc_id, first) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(first, first + 20)) AS word FROM again),
+each_word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM dw),
+kept AS (SELECT e.doc_id, e.pos, CASE WHEN g.word IS NULL THEN e.word END AS word FROM each_word e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.word),
+rest AS (SELECT doc_id, count(*) - count(word) AS n_removed, string_agg(word, ' ' ORDER BY pos) AS text FROM kept GROUP BY doc_id)
+SELECT dw.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM dw LEFT JOIN rest ON dw.doc_id = rest.doc_id""",
 }
