@@ -73,6 +73,14 @@ def powers(kind: str, base: int, n: int) -> np.ndarray:
     return have
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each span of bytes, from prefix sums."""
+    n = len(data)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers("p", _BASE, n + 1)[:n], out=sums[1:])
+    return mix((sums[end] - sums[start]) * powers("i", _INVERSE, n + 1)[start])
+
+
 def _block(data: np.ndarray, edges: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, ...]:
     """Words of one block; edges: positions where a word can't go on (starts of rows)."""
     inside = np.zeros(len(data) + 1, dtype=bool)
@@ -84,10 +92,7 @@ def _block(data: np.ndarray, edges: np.ndarray, table: np.ndarray) -> tuple[np.n
         opens[edges] |= inside[edges]
         closes[edges] |= before[edges]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes)
-    n = len(data)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers("p", _BASE, n + 1)[:n], out=sums[1:])
-    return start, end, mix((sums[end] - sums[start]) * powers("i", _INVERSE, n + 1)[start])
+    return start, end, span_hashes(data, start, end)
 
 
 def words(offsets: np.ndarray, data: np.ndarray, table: np.ndarray) -> Words:
