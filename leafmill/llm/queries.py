@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import cuckoo, decontaminate, language_id, line_dedup, near_dedup, secrets, sentencepiece_sampling, substring_dedup
+from leafmill.llm import cuckoo, decontaminate, language_id, line_dedup, near_dedup, pseudonyms, secrets, sentencepiece_sampling, substring_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,12 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), percent=75)
 
 
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonyms.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), key="leafmill-test-key")
+    counts = [F.get("pseudonyms.found", F.lit(i)).n.alias(f"n_{kind}") for i, kind in enumerate(pseudonyms.PATTERNS)]
+    return found.select("doc_id", F.col("pseudonyms.text").alias("text"), *counts)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(documents(spark, sf_dir), window=20)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -76,5 +82,6 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_near_dedup": op8_near_dedup,
+    "op9_pseudonyms": op9_pseudonyms,
     "op10_substring_dedup": op10_substring_dedup,
 }
