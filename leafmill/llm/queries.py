@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import cuckoo, decontaminate, language_id, line_dedup, near_dedup, pseudonyms, secrets, sentencepiece_sampling, substring_dedup
+from leafmill.llm import cuckoo, decontaminate, language_id, line_dedup, near_dedup, pseudonyms, quotations, secrets, sentencepiece_sampling, substring_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.reply_ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentencepiece_sampling.encode(documents(spark, sf_dir).select("doc_id", "text"), seed=20)
     return coded.select("doc_id", F.size("pieces.ids").cast("long").alias("n_pieces"), "pieces.ids", "pieces.lossless")
@@ -75,6 +79,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quotation_linking": op1_quotation_linking,
     "op2_sentencepiece_sampling": op2_sentencepiece_sampling,
     "op3_secret_scan": op3_secret_scan,
     "op4_language_id": op4_language_id,
