@@ -166,8 +166,18 @@ def _linked(rows: DataFrame, value: str, link: Callable) -> DataFrame:
     return rows.select("g", "class", value).repartition("g").sortWithinPartitions("g").mapInArrow(_grouped(link, value), "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = 100_000) -> DataFrame:
-    r"""One row for each row of docs: doc_id, n_shingles, component_id, kept (doc_id = component_id).
+def drop_near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = 100_000) -> DataFrame:
+    """docs without the rows that near_duplicates() doesn't keep; all columns pass through."""
+    found = near_duplicates(docs, percent, text, doc_id, broadcast_rows, keys=True)
+    gone = cut(found.where("not kept").select("_k1", "_k2").distinct(), "gone")
+    side = F.broadcast(gone) if gone.limit(broadcast_rows + 1).count() <= broadcast_rows else gone.hint("merge")
+    mine = row_keys(F.col(doc_id), F.col(text), prefix="_near_k")
+    return docs.withColumns(mine).join(side, (F.col("_near_k1") == side["_k1"]) & (F.col("_near_k2") == side["_k2"]), "left_anti").drop(*mine)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = 100_000, keys: bool = False) -> DataFrame:
+    r"""One row for each row of docs: doc_id, n_shingles, component_id, kept (doc_id = component_id), and with `keys` the
+    row's key.
 
     Words are `[^\x20\x09-\x0D]+` after A-Z is lower-cased; a document's set has its distinct 5-word shingles (64-bit
     hashes), or the whole sequence if it has fewer words. Documents are linked if 100 * intersection >= percent *
@@ -217,6 +227,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", doc_
     smallest = ends.join(classes.select("class", "rep"), "class").groupBy("root").agg(F.min("rep").alias("component"))
     named = classes.select("class", "rep").join(ends.join(smallest, "root").select("class", "component"), "class", "left")
     named = named.select("class", F.coalesce("component", "rep").alias("component"))
-    found = signed.select("doc_id", F.col("n").alias("n_shingles"), "class").join(named, "class", "left")
+    found = signed.select("_k1", "_k2", "doc_id", F.col("n").alias("n_shingles"), "class").join(named, "class", "left")
     own = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return found.select("doc_id", "n_shingles", own.alias("component_id"), F.expr("doc_id <=> if(class is null, doc_id, component)").alias("kept"))
+    return found.select(*(["_k1", "_k2"] if keys else []), "doc_id", "n_shingles", own.alias("component_id"), F.expr("doc_id <=> if(class is null, doc_id, component)").alias("kept"))
