@@ -1,0 +1 @@
+"""A batch engine for paged documents on Spark: every page is a row."""
