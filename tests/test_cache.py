@@ -1,0 +1,83 @@
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from leafmill.operators import cache
+from leafmill.sources import store as S
+from leafmill.sources.store import Store
+
+
+def test_keys(spark):
+    rows = ["/a/report.pdf", "/a/x.y.pdf", "/a/" + "n" * 61 + ".pdf", "/a/trail. .pdf", "/a/.pdf", "/a/ .pdf"]
+    found = [r.k for r in spark.createDataFrame([(x,) for x in rows], "p string").select(cache.cache_key(F.col("p")).alias("k")).collect()]
+    assert found[:2] == ["report", "x.y"] and len(found[2]) == 16 and found[3:] == ["trail", ".pdf", "_"]
+
+
+def test_artifacts_over_four_digits(spark):
+    found = spark.createDataFrame([(7,), (12345,)], "n int").select(cache.artifact_name(F.col("n"), ".png").alias("x")).collect()
+    assert [r.x for r in found] == ["page_0007.png", "page_12345.png"]
+
+
+def test_routes(spark):
+    rows = [("e", "f", "ok"), ("e", "f", "fallback"), ("e", None, "ok"), ("", None, "ok"), (None, "f", None), ("(vision model unavailable for page 3; x", "f", "fallback")]
+    df = spark.createDataFrame(rows, "e string, f string, s string")
+    route = lambda **flags: [r.x for r in df.select(cache.route(F.col("e"), F.col("f"), **flags).alias("x")).collect()]
+    assert route() == ["cached", "cached", "full", "full", "full", "cached"]
+    assert route(status=F.col("s")) == ["cached", "full", "full", "full", "full", "full"]
+    assert route(status=F.col("s"), reuse_extract=True) == ["cached", "reformat", "reformat", "full", "full", "full"]
+    assert route(no_cache_format=True, reuse_extract=True) == ["full"] * 6
+
+
+@pytest.mark.parametrize("field", [None, *cache.FINGERPRINT])
+def test_one_reason_for_each_changed_field(spark, field):
+    base = {"pdf": "a", "dpi": 144, "with_summary": True, "pages": [3, 1], "model": "m", "persona_version": "v"}
+    other = base | ({field: {"pdf": "b", "dpi": 1, "with_summary": False, "pages": None, "model": "n", "persona_version": "w"}[field]} if field else {"pages": [1, 3, 1]})
+    make = lambda x: spark.createDataFrame([(1, *x.values())], "doc_id int, " + S.META_JSON)
+    reasons = cache.check_fingerprints(make(base), make(other)).first().reasons
+    assert len(reasons) == (field is not None) and all(r.startswith(f"{field} changed: cached=") for r in reasons)
+    if field == "pages":
+        assert reasons == ["pages changed: cached=[1, 3], current=None"]
+
+
+def test_skips(spark):
+    df = spark.createDataFrame([(bytearray(b"x"), None), (bytearray(b"x"), 144), (bytearray(b"x"), 72), (None, 144)], "image binary, dpi int")
+    assert [r.x for r in df.select(cache.skips_render(F.col("image"), F.col("dpi"), 144).alias("x")).collect()] == [True, True, False, False]
+    assert [r.x for r in df.select(cache.skips_resize(F.col("image"), F.col("dpi"), F.lit(72)).alias("x")).collect()] == [True, False, True, False]
+
+
+def test_store_keeps_the_last_version(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    page = lambda n, md, status="ok": (f"d{n}", 1, "e", md, status)
+    frame = lambda *rows: spark.createDataFrame(rows, "doc_id string, page_number int, extract_text string, format_markdown string, status string")
+    assert store.read("pages").count() == 0
+    store.write("pages", frame(page(1, "a"), page(2, "b", "fallback")))
+    store.write("pages", frame(page(2, "c")))
+    found = lambda: {r.doc_id: (r.format_markdown, r.status) for r in store.read("pages").collect()}
+    assert found() == {"d1": ("a", "ok"), "d2": ("c", "ok")}
+    store.delete("pages", frame(page(1, "")))
+    store.compact("pages")
+    assert found() == {"d2": ("c", "ok")}
+
+
+def test_settings_json(spark):
+    good = '{"pdf":"a","dpi":1,"with_summary":true,"pages":null,"model":"m","persona_version":"v"}'
+    rows = [good, good.replace("null", "[2,1]"), good.replace('"m"', "null"), good.replace("1,", '"x",', 1), "{", "[]", None, good.replace("null", '["x"]'), good.replace('"dpi":1', '"dpi":true')]
+    found = [r.m for r in spark.createDataFrame([(x,) for x in rows], "r string").select(S.parse_meta(F.col("r")).alias("m")).collect()]
+    assert [m is not None for m in found] == [True, True, *[False] * 7]
+    assert found[0].pages is None and found[1].pages == [2, 1]
+
+
+def test_summary_json(spark, tmp_path):
+    rows = ['{"summary":"x"}', "{}", None, "{bad", "[1]", '{"summary":3}']
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, raw string")
+    fine = S.quarantine(df, "raw", str(tmp_path / "bad"))
+    assert {r.i: r.s for r in fine.select("i", S.parse_summary(F.col("raw")).alias("s")).collect()} == {0: "x", 1: "", 2: ""}
+    assert sorted(r.i for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == [3, 4, 5]
+    with pytest.raises(PySparkException):
+        df.select(S.parse_summary(F.col("raw"))).collect()
+
+
+def test_markdown_files(spark, tmp_path):
+    df = spark.createDataFrame([("a", "text é"), ("b", None)], "name string, markdown string")
+    assert sorted(r.n_chars for r in S.write_markdown(df, str(tmp_path / "out")).collect()) == [0, 6]
+    assert (tmp_path / "out/a.md").read_text() == "text é" and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.md", "b.md"]
