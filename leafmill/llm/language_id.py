@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,15 +75,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in row[first]], pa.string()), pa.array(spelled, pa.binary()), pa.array(counts, pa.int64())], names=["lang", "word", "n"])
 
 
-def fit(counts: pd.DataFrame, pieces: Pieces, rounds: int = 3, smoothing: float = 0.1) -> Model:
+def fit(counts: pa.Table | None, pieces: Pieces, rounds: int = 3, smoothing: float = 0.1) -> Model:
     """Expectation maximisation of each language's piece probabilities over (lang, word, n)."""
-    languages, columns = sorted(counts.lang.unique()), []
+    languages, columns = sorted(counts.column("lang").unique().to_pylist()) if counts is not None else [], []
     live = np.array([bool(x) for x in pieces.spelling])
     for lang in languages:
-        own = counts[counts.lang == lang]
-        spelled = [bytes(x) for x in own.word]
-        data = np.frombuffer(b"".join(spelled), dtype=np.uint8)
-        size, times = np.array([len(x) for x in spelled]), own.n.to_numpy(dtype=float)
+        own = counts.filter(pc.equal(counts.column("lang"), lang))
+        size = pc.binary_length(own.column("word")).to_numpy().astype(np.int64)
+        data = np.frombuffer(b"".join(own.column("word").to_pylist()), dtype=np.uint8)
+        times = own.column("n").to_numpy().astype(float)
         start = np.cumsum(size) - size
         chance = live / live.sum()
         for _ in range(rounds):
@@ -103,7 +103,7 @@ def fit(counts: pd.DataFrame, pieces: Pieces, rounds: int = 3, smoothing: float
     return Model(pieces, languages, np.vstack([table, np.zeros((1, table.shape[1]))]))
 
 
-def train(labelled: DataFrame, model: str | None = None, text: str = "text", lang: str = "lang", docs_per_language: int = 1500, most_languages: int = 200, most_words: int = 400_000) -> Model:
+def train(labelled: DataFrame, model: str | None = None, text: str = "text", lang: str = "lang", docs_per_language: int = 1500, most_languages: int = 200, most_words: int = 150_000) -> Model:
     """Fits a model to rows with a text and a non-null lang: at most about `docs_per_language` rows of each of the
     `most_languages` most frequent languages, chosen by a hash of the row, and the `most_words` most frequent (lang, word)
     pairs of these. The counts are made on the executors; what reaches the driver is bounded by `most_words`. Words of
@@ -112,11 +112,11 @@ def train(labelled: DataFrame, model: str | None = None, text: str = "text", lan
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     if not sizes:
-        return fit(pd.DataFrame({"lang": [], "word": [], "n": []}), pieces)
+        return fit(None, pieces)
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, docs_per_language / r["count"]))))
     hashed = F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_003)) / 1_000_003
     counted = rows.where(hashed < share[F.col("lang")]).mapInArrow(_counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts = counted.where(F.length("word") <= lattice.BULK).orderBy(F.desc("n"), "lang", "word").limit(most_words).toPandas()
+    counts = counted.where(F.length("word") <= lattice.BULK).orderBy(F.desc("n"), "lang", "word").limit(most_words).toArrow()
     return fit(counts, pieces)
 
 
