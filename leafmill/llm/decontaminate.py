@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.llm import wordhash as W
-from leafmill.llm.tables import cut
+from leafmill.llm.tables import cut, map_batches
 
 FOUND = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
@@ -90,7 +90,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 def _scanner(text: str, into: str, shared, first: bool):
     def rows(column: pa.Array, before: list) -> Iterator[dict]:
         offsets, raw = W.column_bytes(column)
-        for lo, hi in W.blocks(len(column), offsets):
+        for lo, hi in W.blocks(len(column), offsets, 2 * W.BLOCK):
             at, part = offsets[lo : hi + 1] - offsets[lo], raw[offsets[lo] : offsets[hi]]
             words, hit, items = scan(shared.value, at, W.LOWER[part])
             counts = W.row_counts(words.doc, hi - lo)
@@ -144,6 +144,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
     for grams in item_blocks(items, window, block_windows):
         if not first:
             found = cut(found, "scanned")
-        found = found.mapInArrow(_scanner(text, into, spark.sparkContext.broadcast(grams), first), schema)
+        found = found.transform(map_batches, _scanner(text, into, spark.sparkContext.broadcast(grams), first), schema)
         first = False
     return found

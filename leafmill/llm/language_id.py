@@ -15,6 +15,7 @@ from leafmill.llm import lattice
 from leafmill.llm import wordhash as W
 from leafmill.llm.lattice import Pieces
 from leafmill.llm.sentencepiece_sampling import default_model
+from leafmill.llm.tables import map_batches
 
 UNKNOWN = "und"
 FOUND = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -115,7 +116,7 @@ def train(labelled: DataFrame, model: str | None = None, text: str = "text", lan
         return fit(None, pieces)
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, docs_per_language / r["count"]))))
     hashed = F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_003)) / 1_000_003
-    counted = rows.where(hashed < share[F.col("lang")]).mapInArrow(_counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = rows.where(hashed < share[F.col("lang")]).transform(map_batches, _counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = counted.where(F.length("word") <= lattice.BULK).orderBy(F.desc("n"), "lang", "word").limit(most_words).toArrow()
     return fit(counts, pieces)
 
@@ -159,4 +160,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", into: str = "lan
     schema = T.StructType([*docs.schema.fields, T.StructField(into, FOUND)])
     if not model.languages:
         return docs.withColumn(into, F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score")))
-    return docs.mapInArrow(_predictor(docs.sparkSession.sparkContext.broadcast(model), text, into), schema)
+    return docs.transform(map_batches, _predictor(docs.sparkSession.sparkContext.broadcast(model), text, into), schema)

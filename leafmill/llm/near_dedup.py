@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import wordhash as W
 from leafmill.llm.components import components
-from leafmill.llm.tables import cut, row_keys
+from leafmill.llm.tables import cut, map_batches, row_keys
 
 SHINGLE, COORDINATES, MATCHES = 5, 64, 30
 #: Documents, and shingles, that one task compares with as many others; larger groups are compared block by block.
@@ -76,7 +76,7 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _grouped(link: Callable, value: str) -> Callable:
-    """A function for mapInArrow over rows (g, class, value) that are sorted by g: link() gets each group once."""
+    """A function for map_batches over rows (g, class, value) that are sorted by g: link() gets each group once."""
 
     def edges(classes: list[bytes], lists: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
         return [(classes[x], classes[root]) for x, root in link(lists)] if len(classes) > 1 else []
@@ -163,7 +163,7 @@ def _in_blocks(rows: DataFrame, group: str, blocks: str) -> DataFrame:
 
 
 def _linked(rows: DataFrame, value: str, link: Callable) -> DataFrame:
-    return rows.select("g", "class", value).repartition("g").sortWithinPartitions("g").mapInArrow(_grouped(link, value), "a binary, b binary").distinct()
+    return rows.select("g", "class", value).repartition("g").sortWithinPartitions("g").transform(map_batches, _grouped(link, value), "a binary, b binary").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = 100_000) -> DataFrame:
@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", doc_
     """
     keyed = docs.select(*(v.alias(k) for k, v in row_keys(F.col(doc_id), F.col(text)).items()), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     id_type = keyed.schema["doc_id"].dataType.simpleString()
-    signed = cut(keyed.mapInArrow(_signed, f"_k1 long, _k2 long, doc_id {id_type}, n long, class binary, signature array<int>"), "signed")
+    signed = cut(keyed.transform(map_batches, _signed, f"_k1 long, _k2 long, doc_id {id_type}, n long, class binary, signature array<int>"), "signed")
     classes = cut(
         signed.where("class is not null").groupBy("class")
         .agg(F.min("doc_id").alias("rep"), F.min(F.struct("_k1", "_k2")).alias("row"), F.first("n").alias("n"), F.first("signature").alias("signature")),
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", doc_
     wanted = cut(grouped.select("class", "group", F.col("row._k1").alias("_k1"), F.col("row._k2").alias("_k2")), "wanted")
     side = F.broadcast(wanted) if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows else wanted.hint("merge")
     texts = keyed.select("_k1", "_k2", "text").join(side, ["_k1", "_k2"]).select("class", "group", "text")
-    sets = cut(texts.mapInArrow(_with_sets, "class binary, group binary, shingles array<long>"), "sets")
+    sets = cut(texts.transform(map_batches, _with_sets, "class binary, group binary, shingles array<long>"), "sets")
     links = _linked(_in_blocks(sets.join(sizes, "group"), "group", "blocks"), "shingles", lambda x: set_links(x, percent))
     ends = cut(components(links), "components").select(F.col("node").alias("class"), "root")
     smallest = ends.join(classes.select("class", "rep"), "class").groupBy("root").agg(F.min("rep").alias("component"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
-from leafmill.llm.tables import cut, row_keys
+from leafmill.llm.tables import cut, map_batches, row_keys
 
 QUOTED = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)(.*)", re.S)
 ATTRIBUTION = re.compile(r"(?:On|Am|Le|El)\b.{0,200}\b(?:wrote|schrieb|a écrit|escribió)\b.{0,80}:\s*")
@@ -153,7 +153,7 @@ def reply_ordered(messages: DataFrame, conv: str = "conv_id", turn: str = "turn"
     conv_type = rows.schema["conv"].dataType.simpleString()
     given = rows.select("conv", "turn", "role", F.concat_ws(":", "_k1", "_k2").alias("row"), "text")
     schema = f"conv {conv_type}, turn long, role string, row string, {PARSED}"
-    parsed = cut(given.withColumn("role", F.col("role").cast("string")).mapInArrow(_parse, schema), "parsed")
+    parsed = cut(given.withColumn("role", F.col("role").cast("string")).transform(map_batches, _parse, schema), "parsed")
     linked = cut(links(parsed.select("conv", "turn", "row", "units", "passages")), "links")
 
     inside = linked.where("source_conv = conv").groupBy("conv", "turn").agg(F.max(F.struct(-F.col("level"), F.col("source_turn").alias("answers"))).answers.alias("answers"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.tables import cut, row_keys
+from leafmill.llm.tables import cut, map_batches, row_keys
 
 #: Base kinds in their fixed order; (pattern, group that holds the value, least length of it).
 BASE = {
@@ -80,7 +80,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", re
     columns = [F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner")]
     scanned = docs.select(*(v.alias(k) for k, v in key.items()), *columns)
     id_type = scanned.schema["doc_id"].dataType.simpleString()
-    scanned = cut(scanned.mapInArrow(_scan, f"_k1 long, _k2 long, doc_id {id_type}, {SCANNED}, repository string, owner string"), "secrets")
+    scanned = cut(scanned.transform(map_batches, _scan, f"_k1 long, _k2 long, doc_id {id_type}, {SCANNED}, repository string, owner string"), "secrets")
     each = scanned.select("_k1", "_k2", "repository", "owner", F.explode("spans").alias("s"))
     spread = each.groupBy(F.col("s.value").alias("value")).agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"))
     verdict = (

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from leafmill.llm import wordhash as W
 from leafmill.llm.lattice import Pieces, sample
+from leafmill.llm.tables import map_batches
 
 #: Weight of a byte piece against the pieces' 1 / (rank + FLAT).
 BYTE_CHANCE, FLAT = 1e-9, 30.0
@@ -103,7 +104,7 @@ def encode(docs: DataFrame, model: str | None = None, seed: int = 0, theta: floa
     coder = spark.sparkContext.broadcast(Coder(Pieces.load(model or default_model()), theta))
     kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
     seeded = docs.withColumn("_seed", row_seed(seed, *key))
-    return seeded.mapInArrow(_encoder(coder, into, text), T.StructType([*docs.schema.fields, T.StructField(into, kind)]))
+    return seeded.transform(map_batches, _encoder(coder, into, text), T.StructType([*docs.schema.fields, T.StructField(into, kind)]))
 
 
 def row_seed(seed: int, *key: str) -> Column:
@@ -121,4 +122,4 @@ def decode(encoded: DataFrame, model: str | None = None, ids: str = "ids", into:
             texts = [None if x is None else coder.value.decode(x).decode() for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, into])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(into, T.StringType())]))
+    return encoded.transform(map_batches, run, T.StructType([*encoded.schema.fields, T.StructField(into, T.StringType())]))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import wordhash as W
-from leafmill.llm.tables import cut, row_keys
+from leafmill.llm.tables import cut, map_batches, row_keys
 
 #: Words of the n-gram that routes a passage to its shard.
 ANCHOR = 6
@@ -291,7 +291,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", doc_id
     """
     keyed = docs.select(*(v.alias(k) for k, v in row_keys(F.col(doc_id), F.col(text)).items()), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "_k1 long, _k2 long, doc_id long, n long, class binary, local array<long>, gram array<long>, at array<long>"
-    anchored = cut(keyed.mapInArrow(_anchors(window), schema), "anchors")
+    anchored = cut(keyed.transform(map_batches, _anchors(window), schema), "anchors")
     classes = cut(anchored.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "_k1", "_k2")).alias("head")), "classes")
     heads = classes.select(F.col("head._k1").alias("_k1"), F.col("head._k2").alias("_k2"))
 
@@ -302,13 +302,13 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", doc_id
 
     passages = cut(
         keyed.join(chosen, ["_k1", "_k2"]).select(*KEYED, "at", "hot")
-        .mapInArrow(_passages(window), "gram long, check long, hot boolean, _k1 long, _k2 long, doc_id long, first long, words array<long>"),
+        .transform(map_batches, _passages(window), "gram long, check long, hot boolean, _k1 long, _k2 long, doc_id long, first long, words array<long>"),
         "passages",
     )
     order = ["gram", "doc_id", "_k1", "_k2", "first"]
     streamed = (
         passages.where("not hot").select("gram", "_k1", "_k2", "doc_id", "first", "words").repartition("gram").sortWithinPartitions(*order)
-        .mapInArrow(_repeats(window), "_k1 long, _k2 long, first long, last long")
+        .transform(map_batches, _repeats(window), "_k1 long, _k2 long, first long, last long")
     )
     single = passages.where("hot").select("gram", "check", F.struct("doc_id", "_k1", "_k2", "first").alias("place"))
     earliest = single.groupBy("gram", "check").agg(F.min("place").alias("earliest"), F.count("*").alias("m")).where("m > 1")
@@ -322,4 +322,4 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", doc_id
         .where("whole or size(spans) > 0")
     )
     told = keyed.join(fate, ["_k1", "_k2"], "left").select(*KEYED, "spans", "whole")
-    return told.mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, text string")
+    return told.transform(map_batches, _kept(window), "doc_id long, n_words long, n_removed long, text string")

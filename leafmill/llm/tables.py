@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,33 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+BATCH_SETTING, BATCH_DEFAULT, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 8 << 20
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with bounded memory: where the session has the default for the bytes of a batch (64 MB,
+    held in the JVM and the worker at once) it is set to 8 MB, and a worker gives back what it has freed after each
+    partition."""
+    conf = df.sparkSession.conf
+    if str(conf.get(BATCH_SETTING, "")).rstrip("b") == str(BATCH_DEFAULT):
+        conf.set(BATCH_SETTING, str(BATCH))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def row_keys(*columns: Column, prefix: str = "_k") -> dict[str, Column]:
     """A 128-bit key of a row's values, never null: two 64-bit hashes with different seeds. Rows get the same
     key when they are repeated, and then any per-row result is the same for both."""
