@@ -45,7 +45,7 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     held in the JVM and the worker at once) it is set to 8 MB, and a worker gives back what it has freed after each
     partition."""
     conf = df.sparkSession.conf
-    if str(conf.get(BATCH_SETTING, "")).rstrip("b") == str(BATCH_DEFAULT):
+    if str(conf.get(BATCH_SETTING, None)).rstrip("b") == str(BATCH_DEFAULT):
         conf.set(BATCH_SETTING, str(BATCH))
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
