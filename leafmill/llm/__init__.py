@@ -1,6 +1 @@
-"""Operators for training-data pipelines; nothing outside this subpackage imports it."""
-
-from leafmill.llm.oracle import ORACLE
-from leafmill.llm.queries import QUERIES
-
-__all__ = ["ORACLE", "QUERIES"]
+"""Operators for training-data pipelines; nothing outside this subpackage imports it, and workers import its modules singly."""
