@@ -16,7 +16,7 @@ PATTERNS = {
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])(?:(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}|\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5})(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+1[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}|\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5})(?![0-9])",
 }
 ANY = "|".join(f"(?:{x})" for x in PATTERNS.values())
 #: Days from 1000-01-01 in cycles of 400 years, each 146,097 = 189 * 773 days.
@@ -76,15 +76,17 @@ def new_card(text: Column, key: str) -> Column:
 
 
 def new_phone(text: Column, key: str) -> Column:
-    """North American numbers keep +1 and their rule that area and exchange begin with 2 to 9; others keep two digits."""
+    """North American numbers keep +1, and an area or exchange that begins with 2 to 9 goes on doing so; others keep two
+    digits."""
     american = ~text.startswith("+") | text.startswith("+1")
 
     def permuted(d: Column) -> Column:
         lead = F.when(american, F.size(d) - 10).otherwise(F.lit(2))
         body = F.slice(d, lead + 1, F.size(d) - lead)
-        least = F.transform(body, lambda _, i: F.when(american & i.isin(0, 3), 2).otherwise(0))
+        least = F.transform(body, lambda x, i: F.when(american & i.isin(0, 3) & (x > 1), 2).otherwise(0))
+        radix = F.transform(body, lambda x, i: F.when(american & i.isin(0, 3), F.when(x > 1, 8).otherwise(2)).otherwise(10))
         shifted = F.zip_with(body, least, lambda x, y: x - y)
-        inner = feistel(shifted, F.transform(least, lambda x: 10 - x), key, F.concat_ws("-", F.lit("phone"), F.when(american, "1").otherwise(F.array_join(F.slice(strings(d), 1, 2), ""))))
+        inner = feistel(shifted, radix, key, F.concat_ws("-", F.lit("phone"), F.when(american, "1").otherwise(F.array_join(F.slice(strings(d), 1, 2), ""))))
         return F.concat(F.slice(d, F.lit(1), lead), F.zip_with(inner, least, lambda x, y: x + y))
 
     size = lambda d: F.when(american, F.size(d).isin(10, 11)).otherwise(F.size(d).between(8, 15))
@@ -170,7 +172,7 @@ def kind_of(match: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", into: str = "pseudonyms") -> DataFrame:
     """Adds the struct column `into`: text (with pseudonyms), found (kind and number of changed values of each kind).
 
-    Card numbers (Luhn), phone numbers (North American rules; 8 to 15 digits after +), IPv4 addresses (octets under
+    Card numbers (Luhn), phone numbers (ten digits in North American groups; 8 to 15 digits after +), IPv4 addresses (octets under
     256), social security numbers, calendar dates of the years 1000 to 9799 and the local parts of e-mail addresses
     are replaced under a keyed permutation of their own format: separators, lengths, check digits and validity stay, and
     one value has one pseudonym in every document, whatever its separators. A value may now and then be its own
