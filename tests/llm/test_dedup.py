@@ -1,0 +1,240 @@
+import hashlib
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from leafmill.llm import components, cuckoo, line_dedup, near_dedup, substring_dedup
+from leafmill.llm import wordhash as W
+from tests.llm import plain
+from tests.llm.conftest import AWKWARD
+
+
+def frame(spark, docs):
+    return spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+
+
+def in_order(rows):
+    return sorted(map(tuple, rows), key=repr)
+
+
+# --- exact dedup ---
+
+
+def test_exact_dedup_of_awkward_rows(awkward):
+    assert in_order(cuckoo.exact_dedup(awkward).collect()) == in_order(plain.copies(AWKWARD))
+
+
+def test_exact_dedup_of_nothing(nothing):
+    assert cuckoo.exact_dedup(nothing).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.booleans()), max_size=400))
+def test_cuckoo_shard_holds_what_is_live(changes):
+    shard, live = cuckoo.CuckooShard(), {}
+    for n, adds in changes:
+        digest = hashlib.sha256(bytes([n])).digest()
+        if adds:
+            shard.add(digest, n)
+            live[digest] = live.get(digest, 0) + 1
+        else:
+            assert shard.remove(digest) == (digest in live)
+            if digest in live:
+                live[digest] -= 1
+                if not live[digest]:
+                    del live[digest]
+        assert shard.live == len(live)
+    assert {d: n for d, _, n in shard.entries()} == live
+    assert all(d in shard.filter for d in live)
+
+
+def test_cuckoo_filter_grows_and_forgets():
+    shard = cuckoo.CuckooShard()
+    digests = [hashlib.sha256(str(i).encode()).digest() for i in range(5000)]
+    for i, d in enumerate(digests):
+        shard.add(d, i)
+    assert shard.resizes > 0 and all(shard.find(d)[0] == i for i, d in enumerate(digests))
+    for d in digests[:4000]:
+        assert shard.remove(d)
+    assert sum(d in shard.filter for d in digests[:4000]) < 40 and all(d in shard.filter for d in digests[4000:])
+
+
+def test_index_over_several_batches(spark):
+    changes = lambda *rows: spark.createDataFrame([(bytearray(hashlib.sha256(k.encode()).digest()), i, d) for k, i, d in rows], "digest binary, doc_id long, delta int")
+    index = cuckoo.update_index(changes(("a", 5, 1), ("a", 3, 1), ("b", 9, 1), ("c", None, 1)), shards=4)
+    index = cuckoo.update_index(changes(("a", 1, 1), ("b", 9, -1), ("d", 2, 1), ("e", 4, -1)), index)
+    found = {bytes(r.digest): (r.keep_id, r.rows) for r in index.where("digest is not null").collect()}
+    assert found == {hashlib.sha256(k.encode()).digest(): v for k, v in {"a": (1, 3), "c": (None, 1), "d": (2, 1)}.items()}
+
+
+# --- line dedup ---
+
+
+@pytest.mark.parametrize("broadcast_keys", [0, 200_000])
+def test_line_dedup(spark, small, broadcast_keys):
+    found = line_dedup.dedup_lines(frame(spark, small), 3, broadcast_keys=broadcast_keys).select("doc_id", "line_dedup.*")
+    assert in_order(found.collect()) == in_order(plain.lines(small, 3))
+
+
+@pytest.mark.parametrize("min_chars", [0, 1, 4])
+def test_line_dedup_of_awkward_rows(awkward, min_chars):
+    found = line_dedup.dedup_lines(awkward, 2, min_chars)
+    assert found.columns == [*awkward.columns, "line_dedup"]
+    assert in_order(found.select("doc_id", "line_dedup.*").collect()) == in_order(plain.lines(AWKWARD, 2, min_chars))
+
+
+def test_line_keys(spark):
+    docs = [(1, " Ab\t\nÉ\nx"), (2, "aB\né\nx\nx")]
+    found = line_dedup.dedup_lines(frame(spark, docs), 2).select("doc_id", "line_dedup.*")
+    assert in_order(found.collect()) == [(1, 3, 2, "É"), (2, 4, 3, "é")]
+
+
+def test_line_dedup_of_nothing(nothing):
+    assert line_dedup.dedup_lines(nothing).count() == 0
+
+
+# --- near dedup ---
+
+
+def variants(n=60, groups=6, seed=4):
+    """Groups of texts with words changed here and there, chains of links among them."""
+    r, docs = random.Random(seed), []
+    for g in range(groups):
+        words = [f"g{g}w{r.randint(0, 400)}" for _ in range(r.choice([4, 12, 60, 150]))]
+        for _ in range(n):
+            words = list(words)
+            for _ in range(r.choice([0, 1, 1, 2])):
+                words[r.randrange(len(words))] = f"n{r.randint(0, 10**6)}"
+            docs.append((len(docs), " ".join(words)))
+    r.shuffle(docs)
+    return docs
+
+
+@pytest.mark.parametrize("blocks", [None, 7])
+def test_near_duplicates(spark, monkeypatch, blocks):
+    if blocks:
+        monkeypatch.setattr(near_dedup, "BLOCK_DOCS", blocks)
+        monkeypatch.setattr(near_dedup, "BLOCK_POSTINGS", blocks)
+    docs = variants()
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame(spark, docs)).collect()}
+    assert found == plain.near(docs)
+
+
+def test_near_duplicates_of_documents(spark, documents, small):
+    rows = near_dedup.near_duplicates(documents, broadcast_rows=0).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == plain.near(small)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
+
+
+def test_near_duplicates_of_awkward_rows(awkward):
+    found = in_order(tuple(r)[:4] for r in near_dedup.near_duplicates(awkward).collect())
+    long = len(plain.shingles(AWKWARD[5][1]))
+    assert found == in_order([
+        (1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 0, 4, True), (5, long, 5, True), (6, long, 5, False), (None, 1, None, True), (None, 0, None, True),
+        (7, 1, 7, True), (7, 2, 7, True), (8, 1, 8, True), (9, 1, 9, True), (10, 0, 10, True), (11, 1, 11, True),
+    ])
+    kept = near_dedup.drop_near_duplicates(awkward)
+    assert kept.columns == awkward.columns and kept.count() == len(AWKWARD) - 1
+
+
+def test_near_duplicates_of_nothing(nothing):
+    assert near_dedup.near_duplicates(nothing).count() == 0 and near_dedup.drop_near_duplicates(nothing).count() == 0
+
+
+def test_components(spark):
+    r = random.Random(1)
+    name = lambda i: hashlib.blake2b(str(i).encode(), digest_size=16).digest()
+    edges = [(i, i + 1) for i in range(0, 300) if i % 60] + [(500, x) for x in range(501, 560)] + [(r.randint(600, 700), r.randint(600, 700)) for _ in range(60)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    rows = components.components(spark.createDataFrame([(bytearray(name(a)), bytearray(name(b))) for a, b in edges], "a binary, b binary")).collect()
+    found = {bytes(x.node): bytes(x.root) for x in rows}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert set(found) == {name(x) for x in linked} and len(rows) == len(found)
+    assert len({(find(x), found[name(x)]) for x in linked}) == len({find(x) for x in linked}) == len(set(found.values()))
+
+
+# --- substring dedup ---
+
+
+@pytest.mark.parametrize("hot", [0, 2, 5000])
+def test_substring_dedup(spark, small, hot):
+    docs = frame(spark, small).union(frame(spark, small[:20]))  # and repeated rows
+    expected = plain.repeats(small)
+    found = substring_dedup.remove_repeats(docs, hot=hot).collect()
+    assert in_order(found) == in_order([*expected, *(x for x in expected if x[0] in {i for i, _ in small[:20]})])
+
+
+@pytest.mark.parametrize("window", [1, 3, 20])
+def test_substring_dedup_of_loops(spark, window):
+    r = random.Random(2)
+    docs = [(i, " ".join(r.choice("abc") for _ in range(r.randint(0, 60)))) for i in range(60)] + [(60, "x " * 500), (61, "x y " * 40), (62, "y x " * 40)]
+    assert in_order(substring_dedup.remove_repeats(frame(spark, docs), window).collect()) == in_order(plain.repeats(docs, window))
+
+
+def test_substring_dedup_of_awkward_rows(awkward):
+    found = {(r.doc_id, r.n_words): (r.n_removed, len(r.text)) for r in substring_dedup.remove_repeats(awkward).collect()}
+    assert found[6, 60_000] == (60_000, 0) and found[5, 60_000][0] == plain.repeats([(5, AWKWARD[5][1])])[0][2]
+    assert found[1, 5] == (0, 24) and found[2, 0] == (0, 0) and found[None, 3][0] == 0
+
+
+def test_substring_dedup_of_nothing(nothing):
+    assert substring_dedup.remove_repeats(nothing).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), max_size=12), min_size=1, max_size=5), st.lists(st.integers(0, 3), max_size=14))
+def test_suffix_automaton(sequences, query):
+    automaton = substring_dedup.SuffixAutomaton()
+    for s in sequences:
+        automaton.add(s)
+    parts = {tuple(s[a:b]) for s in sequences for a in range(len(s)) for b in range(a + 1, len(s) + 1)}
+    longest = lambda i: max((n for n in range(1, i + 2) if tuple(query[i + 1 - n : i + 1]) in parts), default=0)
+    assert automaton.matching(query) == [longest(i) for i in range(len(query))]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aB \n\té\x00日", max_size=40), max_size=6))
+def test_words(texts):
+    import pyarrow as pa
+
+    offsets, data = W.column_bytes(pa.array(texts, pa.string()))
+    found = W.words(offsets, data, W.NON_SPACE)
+    expected = [(i, w) for i, t in enumerate(texts) for w in plain.WORD.findall(t)]
+    assert [(int(d), data[s:e].tobytes().decode()) for d, s, e in zip(found.doc, found.start, found.end, strict=True)] == expected
+    assert len(set(found.hash.tolist())) == len({w for _, w in expected})
+
+
+def test_words_across_blocks(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(W, "BLOCK", 64)
+    texts = ["word " * 50, "x" * 300, "", "é" * 90 + " tail", "a b"]
+    offsets, data = W.column_bytes(pa.array(texts))
+    found = W.words(offsets, data, W.NON_SPACE)
+    assert [data[s:e].tobytes().decode() for s, e in zip(found.start, found.end, strict=True)] == [w for t in texts for w in t.split()]
+    whole = W.words(np_offsets(["word"]), W.column_bytes(pa.array(["word"]))[1], W.NON_SPACE)
+    assert found.hash[0] == found.hash[49] == whole.hash[0]
+
+
+def np_offsets(texts):
+    import numpy as np
+
+    return np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+
+
+def test_row_keys_differ(spark, awkward):
+    from leafmill.llm.tables import row_keys
+
+    keyed = awkward.select(*(v.alias(k) for k, v in row_keys(F.col("doc_id"), F.col("text")).items()), "doc_id", "text")
+    assert keyed.select("_k1", "_k2").distinct().count() == keyed.select("doc_id", "text").distinct().count()
