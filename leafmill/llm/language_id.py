@@ -137,7 +137,7 @@ def _predictor(model, text: str, into: str):
         for batch in batches:
             at, (langs, scores) = batch.schema.names.index(text), ([], [])
             offsets, data = W.column_bytes(batch.column(at))
-            for lo, hi in W.blocks(batch.num_rows, offsets, 4 * W.BLOCK):
+            for lo, hi in W.blocks(batch.num_rows, offsets, 4 * W.MB):
                 found = model.value.predict(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]])
                 langs += found[0]
                 scores += found[1]

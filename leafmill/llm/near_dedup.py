@@ -45,7 +45,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def _each_block(column: pa.Array) -> Iterator[list[np.ndarray]]:
     offsets, raw = W.column_bytes(column, lower=True)
-    for lo, hi in W.blocks(len(column), offsets, 4 * W.BLOCK):
+    for lo, hi in W.blocks(len(column), offsets, 4 * W.MB):
         yield shingle_sets(offsets[lo : hi + 1] - offsets[lo], raw[offsets[lo] : offsets[hi]], hi - lo)
 
 

@@ -12,7 +12,9 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+#: Bytes hashed at a time; the temporary arrays are eight times that.
+BLOCK = 1 << 18
+MB = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
@@ -74,7 +76,17 @@ def powers(kind: str, base: int, n: int) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each span of bytes, from prefix sums."""
+    """Hash of each span of bytes; spans don't overlap and are in order."""
+    out, lo = np.empty(len(start), dtype=np.uint64), 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + BLOCK, side="right")))
+        a = int(start[lo])
+        out[lo:hi] = _span_hashes(data[a : int(end[hi - 1])], start[lo:hi] - a, end[lo:hi] - a)
+        lo = hi
+    return out
+
+
+def _span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     n = len(data)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers("p", _BASE, n + 1)[:n], out=sums[1:])
@@ -138,7 +150,7 @@ def row_counts(doc: np.ndarray, rows: int) -> np.ndarray:
     return np.bincount(doc, minlength=rows)[:rows] if rows else np.zeros(0, np.int64)
 
 
-def blocks(batch_rows: int, offsets: np.ndarray, most: int = 8 * BLOCK):
+def blocks(batch_rows: int, offsets: np.ndarray, most: int = 8 * MB):
     """Runs of rows (first, last exclusive) of about `most` bytes; a longer row stands alone."""
     first = 0
     while first < batch_rows:
