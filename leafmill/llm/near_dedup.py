@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", doc_
     ends = cut(components(links), "components").select(F.col("node").alias("class"), "root")
     smallest = ends.join(classes.select("class", "rep"), "class").groupBy("root").agg(F.min("rep").alias("component"))
     named = classes.select("class", "rep").join(ends.join(smallest, "root").select("class", "component"), "class", "left")
-    named = named.select("class", F.coalesce("component", "rep").alias("component"))
+    named = cut(named.select("class", F.coalesce("component", "rep").alias("component")), "named")  # then a hot class can be split
     found = signed.select("_k1", "_k2", "doc_id", F.col("n").alias("n_shingles"), "class").join(named, "class", "left")
     own = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return found.select(*(["_k1", "_k2"] if keys else []), "doc_id", "n_shingles", own.alias("component_id"), F.expr("doc_id <=> if(class is null, doc_id, component)").alias("kept"))
