@@ -5,7 +5,9 @@ from __future__ import annotations
 import argparse
 import importlib
 import logging
+import os
 import sys
+from dataclasses import replace
 
 from leafmill.config import ConfigError, EngineConfig, NoCache, RetryConfig, safe_folder
 from leafmill.functions import prompts
@@ -42,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-p", "--pages", type=page_spec, help="for example 1-5,8")
     cache = p.add_argument_group("cache")
     cache.add_argument("--cache-dir", default=".leafmill-cache")
+    cache.add_argument("--no-intermediates", action="store_true", help="keep nothing but the Markdown files")
     for name in (*CACHES, "all"):
         cache.add_argument(f"--no-cache-{name}", action="store_true")
     features = p.add_argument_group("features")
@@ -104,9 +107,15 @@ def main(argv: list[str] | None = None) -> int:
     from leafmill.operators.model import Stages
     from leafmill.plans.convert import DriftError, convert
     from leafmill.sources import pdf
+    from leafmill.sources.catalogue import resolve_limit
     from leafmill.sources.store import Store, write_markdown
 
     spark = SparkSession.builder.appName("leafmill").getOrCreate()
+    if args.no_intermediates:
+        import uuid
+
+        folder = f"{folder}/run-{uuid.uuid4().hex}"
+    config = replace(config, ctx_limit=resolve_limit(config, os.environ))
     if args.renderer:
         documents, rejected = pdf.pdfs(pdf.scan_files(spark, args.input))
         for row in rejected.limit(20).collect():
@@ -133,4 +142,6 @@ def main(argv: list[str] | None = None) -> int:
     named = found.withColumn("name", cache_key(F.coalesce(F.col("doc_id"), F.lit(""))))
     written = write_markdown(named, args.output).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")).first()
     print(f"{written.n} documents, {written.chars or 0} characters")
+    if args.no_intermediates:
+        Store(spark, folder).drop()
     return 0

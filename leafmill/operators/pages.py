@@ -85,6 +85,11 @@ def missing_pages(target: DataFrame, cached: DataFrame, keys: tuple[str, ...] =
     return target.join(cached.select(*keys), list(keys), "left_anti")
 
 
+def all_pages(cached: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Rows of both tables, columns by name; what one of them lacks is null."""
+    return cached.unionByName(fresh, allowMissingColumns=True)
+
+
 def pages_out_of_range(specs: DataFrame, counts: DataFrame, on: str = "doc_id", spec: str = "spec", total: str = "total") -> DataFrame:
     """(doc, first_bad_page): for each document whose spec names a page that it hasn't, the smallest such page."""
     named = specs.join(counts, on).select(on, total, F.explode(spec_pages(F.col(spec))).alias("page"))

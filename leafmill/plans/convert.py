@@ -73,7 +73,9 @@ def convert(pages: DataFrame, config: EngineConfig, stages: Stages, store: Store
     store.write("pages", results.where("status not in ('cached', 'failed')").select("doc_id", "page_number", "extract_text", F.col("markdown").alias("format_markdown"), "status", F.lit(config.dpi).alias("dpi"), "summary"))
 
     done = store.read("pages").join(pages.select("doc_id", "page_number"), ["doc_id", "page_number"], "left_semi")
-    if config.with_summary and not config.no_cache.summary:
+    if not config.with_summary:
+        store.delete("summary", mine)
+    elif not config.no_cache.summary:
         store.write("summary", done.groupBy("doc_id").agg(F.max_by("summary", "page_number").alias("summary")))
     if fallen := done.where("status = 'fallback'").count():
         log.warning("%d pages used their text layer", fallen)

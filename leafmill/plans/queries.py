@@ -117,7 +117,7 @@ def page_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cached pages and those still to be made, in order."""
     cached = cached_pages(spark, sf_dir).select("doc_id", "page_number", F.lit("cache").alias("source"))
     fresh = missing_pages_anti(spark, sf_dir).withColumn("source", F.lit("render"))
-    return cached.unionByName(fresh)
+    return pages.all_pages(cached, fresh)
 
 
 def resume_route(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,11 @@ class Store:
     def delete(self, table: str, keys: DataFrame) -> None:
         self.write(table, keys.select(*KEYS[table]), deleted=True)
 
+    def drop(self) -> None:
+        """Deletes the folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def compact(self, table: str) -> None:
         """Rewrites beside the table, then takes its place."""
         fresh = f"{self._path(table)}-{uuid.uuid4().hex}"

@@ -76,6 +76,8 @@ def test_command_line(spark, tmp_path, capsys):
         spark.stop = stop
     assert [p.read_text() for p in (tmp_path / "out").iterdir()] == ["shall be connected."]
     assert "not a PDF" in capsys.readouterr().err
+    assert cli.main([*arguments, "--no-intermediates", "--no-summary"]) == 0 and not list((tmp_path / "cache").glob("run-*"))
+    capsys.readouterr()
     assert cli.main(["--persona-version"]) == 0 and len(capsys.readouterr().out.strip()) == 16
     assert cli.main([]) == 1 and cli.main(["x", "-o", "y", "--cache-dir", "a/../b"]) == 1
     with pytest.raises(SystemExit) as end:

@@ -1,4 +1,11 @@
+import json
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
+
+from leafmill.config import EngineConfig
 from leafmill.operators.limits import CEILING, FIELDS, resolve_limits
+from leafmill.sources.catalogue import catalogue as table
+from leafmill.sources.catalogue import fetch, find_limit, resolve_limit
 
 
 def test_resolution(spark):
@@ -8,3 +15,46 @@ def test_resolution(spark):
     models = spark.createDataFrame([("m-one", None), ("m-two", None), ("m-big", None), ("gpt-4o", None), ("nobody", None), ("m-one", 5)], "model string, forced long")
     found = [(r.model, r.ctx_limit) for r in resolve_limits(models, catalogue, override="forced").collect()]
     assert sorted(found) == [("gpt-4o", 128_000), ("m-big", CEILING), ("m-one", 5), ("m-one", 9), ("m-two", 5), ("nobody", 128_000)]
+
+
+ENTRIES = [{"id": "m-one-2024", "max_tokens": 7}, {"id": "M-ONE", "context_window": True, "max_input_tokens": 9.7}, {"id": "m-two", "context_length": -1}, {"id": "m-two-b", "context_length": 5}, {}]
+
+
+def test_driver_and_table_agree(spark):
+    models = spark.createDataFrame([(x,) for x in ("m-one", "m-two", "nobody", "gpt-4o")], "model string")
+    found = {r.model: r.ctx_limit for r in resolve_limits(models, table(spark, ENTRIES)).collect()}
+    assert found == {"m-one": 9, "m-two": 5, "nobody": 128_000, "gpt-4o": 128_000}
+    assert [find_limit(x, ENTRIES) for x in ("m-one", "m-two", "nobody")] == [9, 5, None]
+    assert table(spark, None).count() == 0
+
+
+def test_server_is_asked_with_a_key_only():
+    asked = []
+    ask = lambda base, key: asked.append((base, key)) or ENTRIES
+    server = {"LEAFMILL_BASE_URL": "http://x", "LEAFMILL_API_KEY": "k"}
+    assert resolve_limit(EngineConfig(model="m-one"), server, ask) == 9 and asked == [("http://x", "k")]
+    assert resolve_limit(EngineConfig(model="m-one", ctx_limit=3), server, ask) == 3
+    assert resolve_limit(EngineConfig(model="m-one"), {}, ask) == 128_000 and len(asked) == 1
+    assert resolve_limit(EngineConfig(model="MiniMax-M3"), server, lambda *_: None) == 524_288
+
+
+def test_fetch():
+    class Models(BaseHTTPRequestHandler):
+        def do_GET(self):
+            good = self.path == "/v1/models" and self.headers["Authorization"] == "Bearer k"
+            self.send_response(200 if good else 404)
+            self.end_headers()
+            self.wfile.write(json.dumps({"data": [*ENTRIES, 3]}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Models)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        assert fetch(f"{base}/v1", "k") == ENTRIES
+        assert fetch(f"{base}/v1", "wrong") is None and fetch(base, "k") is None and fetch("file:///etc", "k") is None
+    finally:
+        server.shutdown()
+    assert fetch(base, "k", 0.5) is None
