@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.operators.stitch import Stitcher
+from leafmill.operators.stitcher import Stitcher
 
 OUT = "doc_id string, position long, block string"
 STATE = "next_page int, last_page int, emitted long, held string, pending string"

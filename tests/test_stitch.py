@@ -5,7 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from leafmill.operators.pages import page_split
-from leafmill.operators.stitch import boundaries, stitch, stitch_pages
+from leafmill.operators.stitch import boundaries, stitch
+from leafmill.operators.stitcher import stitch_pages
 from tests.plain import stitched
 
 PARTS = ["word", "ends here.", "# Head", "## A\nbody", "| a | b |", "| a | b", "|---|---|", "| h | k |\n|---|---|\n| 1 | 2", "- item", "1. one", "> q", "```", "中文", "中", "open (", "「", "x ", "  lead", "trail  ", "　", "#x", "line\nline", "end!", "a|", "| 1 |\n| 2 | text"]

@@ -1,6 +1,6 @@
 import random
 
-from leafmill.operators.stitch import stitch_pages
+from leafmill.operators.stitcher import stitch_pages
 from leafmill.streaming.stitch import stitch_stream
 from tests.test_stitch import fuzz
 
