@@ -19,7 +19,7 @@ def stitch(pages: DataFrame, mode: str = "heuristic", doc_id: str = "doc_id", pa
     `off` puts a page break between pages, blank ones too. `heuristic` joins the first block of a page to the last of the
     one before where that one is unfinished. `heuristic_compat` keeps a defect of the rules as first written: it loses the joined
     paragraph, when the page that goes on has further blocks. Null pages are blank. (doc_id, page) is a key; rows that
-    share it stand in the order of their text.
+    share it stand in the order of their blocks.
 
     `native` makes one shuffle by doc_id and no Python worker: what a join depends on is put into a small struct for
     each page before the shuffle, a fold over these structs decides, and the texts are joined once, so the work is in
@@ -34,8 +34,8 @@ def stitch(pages: DataFrame, mode: str = "heuristic", doc_id: str = "doc_id", pa
         id_type = given.schema["doc_id"].dataType.simpleString()
         out = given.groupBy("doc_id").applyInPandas(lambda rows: _folded(rows, mode), f"doc_id {id_type}, n_pages long, markdown string")
     else:
-        featured = given.select("doc_id", "page_number", "markdown", page_features(F.col("markdown")).alias("f"))
-        rows = F.array_sort(F.collect_list(F.struct("page_number", "markdown", "f")))
+        featured = given.select("doc_id", "page_number", page_features(F.col("markdown")).alias("f"))
+        rows = F.array_sort(F.collect_list(F.struct("page_number", "f")))
         gathered = featured.groupBy("doc_id").agg(F.count("*").alias("n_pages"), rows.alias("rows"))
         out = gathered.select("doc_id", "n_pages", assemble(F.filter("rows", lambda x: F.size(x.f.blocks) > 0), mode == "heuristic_compat").alias("markdown"))
     return out.select("doc_id", "markdown", F.length("markdown").alias("n_chars"), "n_pages")
@@ -113,7 +113,7 @@ def lost_tails(features: Column, kinds: Column) -> Column:
 
 
 def assemble(rows: Column, compat: bool) -> Column:
-    """The text of pages (page_number, markdown, f) in order, none of them blank."""
+    """The text of pages (page_number, f) in order, none of them blank."""
 
     def joined(x: Column) -> Column:
         pieces = F.transform(x.f, lambda f, i: page_text(x, f, i))
