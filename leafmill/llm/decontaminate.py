@@ -90,7 +90,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 def _scanner(text: str, into: str, shared, first: bool):
     def rows(column: pa.Array, before: list) -> Iterator[dict]:
         offsets, raw = W.column_bytes(column)
-        for lo, hi in W.blocks(len(column), offsets, 2 * W.MB):
+        for lo, hi in W.blocks(len(column), offsets, W.MB):
             at, part = offsets[lo : hi + 1] - offsets[lo], raw[offsets[lo] : offsets[hi]]
             words, hit, items = scan(shared.value, at, W.LOWER[part])
             counts = W.row_counts(words.doc, hi - lo)

@@ -64,8 +64,8 @@ def dedup_lines(
 
     kept = F.when(F.col("_line_dropped").isNull(), body).otherwise(F.get(F.transform(F.array(bound), rest), F.lit(0)))
     n_lines = F.size(F.split(body, "\n", -1)).cast("long")
-    n_dropped = F.coalesce(F.size("_line_dropped"), F.lit(0)).cast("long")
-    out = F.struct(n_lines.alias("n_lines"), F.when(F.col("_line_dropped").isNull(), 0).otherwise(n_dropped).cast("long").alias("n_dropped"), kept.alias("text"))
+    n_dropped = F.when(F.col("_line_dropped").isNull(), 0).otherwise(F.size("_line_dropped")).cast("long")
+    out = F.struct(n_lines.alias("n_lines"), n_dropped.alias("n_dropped"), kept.alias("text"))
     return keyed.join(dropped, on, "left").withColumn(into, out).drop(*on, "_line_dropped")
 
 

@@ -76,7 +76,7 @@ def _encoder(coder, into: str, text: str):
             at = batch.schema.names.index(text)
             offsets, data = W.column_bytes(batch.column(at))
             seeds = W.mix(batch.column(batch.num_columns - 1).to_numpy().view(np.uint64))
-            for lo, hi in W.blocks(batch.num_rows, offsets, 2 * W.MB):
+            for lo, hi in W.blocks(batch.num_rows, offsets, W.MB):
                 mine, raw = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
                 counts, ids = coder.value.encode(mine, raw, seeds[lo:hi])
                 ends = np.concatenate([[0], np.cumsum(counts)])
