@@ -136,8 +136,9 @@ def branch_keys(jumps: DataFrame) -> DataFrame:
 
 
 def reply_ordered(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Conversations without quotes: conv_id, branch, branch_key, part, n_quotes, n_linked, messages (turn, role,
-    reply_to, text, sources), a row for each branch and 4,096 turns of it.
+    """Conversations without quotes: conv_id, branch, branch_key, part, slice, n_quotes, n_linked, messages (turn, role,
+    reply_to, text, sources), a row for each branch and 4,096 turns of it. Where one turn has more messages than that
+    they are dealt to slices, else slice is 0.
 
     A message answers the source of its least nested quote that was found in its conversation (of several the
     latest), else the message before it. It opens a branch if it answers another than the one before; other messages
@@ -168,12 +169,17 @@ def reply_ordered(messages: DataFrame, conv: str = "conv_id", turn: str = "turn"
     quotes = linked.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("passage", "level", F.col("source_conv").alias("conv"), F.col("source_turn").alias("turn")))).alias("sources"))
     placed = parsed.select("conv", "turn", "role", "row", "own").distinct().join(turns.select("conv", "turn", "head", F.coalesce("answers", "before").alias("reply_to")), ["conv", "turn"], "left")
     placed = placed.join(quotes, "row", "left").withColumn("sources", F.coalesce("sources", F.array().cast(quotes.schema["sources"].dataType)))
+    crowded = placed.where("conv is not null and turn is not null").groupBy("conv", "turn").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("slices"))
+    crowded = cut(crowded.where("slices > 1"), "crowded")
+    slices = F.lit(0) if crowded.isEmpty() else F.coalesce(F.pmod(F.xxhash64("row"), F.col("slices")).cast("int"), F.lit(0))
+    if not crowded.isEmpty():
+        placed = placed.join(crowded, ["conv", "turn"], "left")
     alone = F.when(F.col("conv").isNull() | F.col("turn").isNull(), F.col("row"))
     message = F.struct("turn", "role", F.col("own").alias("text"), "reply_to", "sources")
-    grouped = placed.groupBy("conv", "head", F.floor(F.col("turn") / BUCKET).alias("part"), alone.alias("_alone")).agg(F.array_sort(F.collect_list(message)).alias("messages"))
+    grouped = placed.groupBy("conv", "head", F.floor(F.col("turn") / BUCKET).alias("part"), slices.alias("slice"), alone.alias("_alone")).agg(F.array_sort(F.collect_list(message)).alias("messages"))
     found = grouped.join(keys, ["conv", "head"], "left")
     quoted = F.flatten(F.transform("messages", lambda m: m.sources))
     return found.select(
-        F.col("conv").alias("conv_id"), F.col("head").alias("branch"), F.coalesce("key", F.array().cast("array<bigint>")).alias("branch_key"), "part",
+        F.col("conv").alias("conv_id"), F.col("head").alias("branch"), F.coalesce("key", F.array().cast("array<bigint>")).alias("branch_key"), "part", "slice",
         F.size(quoted).cast("long").alias("n_quotes"), F.size(F.filter(quoted, lambda q: q.turn.isNotNull())).cast("long").alias("n_linked"), "messages",
     )

@@ -341,6 +341,15 @@ def test_reply_order_is_depth_first(spark, monkeypatch, bucket):
         assert {m.turn: m.reply_to for x in mine for m in x.messages} == own
 
 
+def test_many_messages_of_one_turn(spark, monkeypatch):
+    monkeypatch.setattr(quotations, "BUCKET", 5)
+    rows = [(1, 0, "user", f"text {i}") for i in range(60)] + [(1, 1, "user", "> text 7\nlast")]
+    found = quotations.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted(m.text for r in found for m in r.messages) == sorted([f"text {i}" for i in range(60)] + ["last"])
+    assert len({r.slice for r in found}) > 5 and max(len(r.messages) for r in found) < 20
+    assert [(m.reply_to, m.sources[0].turn) for r in found for m in r.messages if m.text == "last"] == [(0, 0)]
+
+
 def test_quotes_of_conversations_and_nothing(spark, sf_dir):
     talks = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     rows = QUERIES["op1_quotation_linking"](spark, sf_dir).collect()
