@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", doc_
     1. Equal sets become one class (partial aggregation, so thousands of copies cost nothing further).
     2. Classes are posted under each (coordinate, value) of 64 MinHash coordinates. A pair with similarity 0.75 agrees in
        48 coordinates on average; pairs that agree in MATCHES (30) or more are retained, which misses a pair at 0.75
-       with a probability of about 5e-7. Values that one class has alone can't match; a class with fewer than 30 shared
+       with a probability of about 4e-7. Values that one class has alone can't match; a class with fewer than 30 shared
        values has no partner. Of the others' values, in order of growing frequency, all but the last 29 form
        the prefix: two classes that agree in 30 must share one of those, so frequent values are seldom posted.
     3. Within a posting list collisions are counted over whole signatures; members already reached are skipped, and

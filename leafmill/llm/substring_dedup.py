@@ -16,7 +16,7 @@ from leafmill.llm.tables import cut, map_batches, row_keys
 #: Words of the n-gram that routes a passage to its shard.
 ANCHOR = 6
 #: Anchors with more passages than this are routed window by window.
-HOT = 5_000
+HOT = 1_000
 
 
 class SuffixAutomaton:
