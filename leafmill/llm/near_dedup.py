@@ -15,7 +15,7 @@ from leafmill.llm.components import components
 from leafmill.llm.tables import cut, map_batches, row_keys
 
 SHINGLE, COORDINATES, MATCHES = 5, 64, 30
-#: Documents, and shingles, that one task compares with as many others; larger groups are compared block by block.
+#: Documents, and shingles, that one task compares with as many others; larger groups are compared in blocks.
 BLOCK_DOCS, BLOCK_SHINGLES, BLOCK_POSTINGS = 2000, 2_000_000, 4000
 _MULTIPLIERS = W.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -82,9 +82,6 @@ def _grouped(link: Callable, value: str) -> Callable:
         return [(classes[x], classes[root]) for x, root in link(lists)] if len(classes) > 1 else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
-
         group, classes, lists = None, [], []
         for batch in batches:
             found, g = [], batch.column(0).to_pylist()
@@ -97,9 +94,9 @@ def _grouped(link: Callable, value: str) -> Callable:
                 classes.append(names[i])
                 lists.append(flat[ends[i] : ends[i + 1]].copy())
             if found:
-                yield out(found)
+                yield _edges(found)
         if found := edges(classes, lists):
-            yield out(found)
+            yield _edges(found)
 
     return run
 
@@ -154,16 +151,95 @@ def set_links(lists: list[np.ndarray], percent: int = 75) -> list[tuple[int, int
     return found
 
 
-def _in_blocks(rows: DataFrame, group: str, blocks: str) -> DataFrame:
-    """Each row once for every pair of blocks of its group that its own block is in: column g names the pair. Any two
-    rows of a group meet in some g."""
-    own = F.pmod(F.xxhash64("class"), F.col(blocks)).cast("int")
-    every = F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), lambda i: F.xxhash64(F.col(group), F.least(i, own), F.greatest(i, own)))
-    return rows.withColumn("g", F.explode(every))
+def _cross(near: Callable) -> Callable:
+    """A function for map_batches over rows (g, asks, class, root, value), sorted by g: near() gets the values that ask and
+    those that don't, and gives for each of the first the positions of the second that it is linked with."""
+
+    def edges(asking: list, others: list) -> set[tuple[bytes, bytes]]:
+        if not asking or not others:
+            return set()
+        roots = [root for _, root, _ in others]
+        found = near([x for _, _, x in asking], [x for _, _, x in others])
+        return {(name, roots[i]) for (name, _, _), at in zip(asking, found, strict=True) for i in at}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, asking, others = None, [], []
+        for batch in batches:
+            found: set = set()
+            g, asks, names, roots = (batch.column(i).to_pylist() for i in range(4))
+            flat, ends = batch.column(4).values.to_numpy(zero_copy_only=False), batch.column(4).offsets.to_numpy()
+            for i in range(batch.num_rows):
+                if g[i] != group:
+                    found |= edges(asking, others)
+                    group, asking, others = g[i], [], []
+                (asking if asks[i] else others).append((names[i], roots[i], flat[ends[i] : ends[i + 1]].copy()))
+            if found:
+                yield _edges(sorted(found))
+        if found := edges(asking, others):
+            yield _edges(sorted(found))
+
+    return run
 
 
-def _linked(rows: DataFrame, value: str, link: Callable) -> DataFrame:
-    return rows.select("g", "class", value).repartition("g").sortWithinPartitions("g").transform(map_batches, _grouped(link, value), "a binary, b binary").distinct()
+def _edges(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+
+def near_signatures(asking: list[np.ndarray], others: list[np.ndarray]) -> Iterator[np.ndarray]:
+    signs = np.stack(others)
+    for x in asking:
+        yield np.flatnonzero((signs == x).sum(axis=1) >= MATCHES)
+
+
+def near_sets(asking: list[np.ndarray], others: list[np.ndarray], percent: int = 75) -> Iterator[np.ndarray]:
+    sizes = np.array([len(x) for x in others])
+    starts = np.cumsum(sizes) - sizes
+    shingles, flat = np.unique(np.concatenate(others), return_inverse=True)
+    marked = np.zeros(len(shingles), dtype=np.int32)
+    for x in asking:
+        at = np.searchsorted(shingles, x)
+        at = at[at < len(shingles)]
+        own = at[np.isin(shingles[at], x)]
+        marked[own] = 1
+        common = np.add.reduceat(marked[flat], starts)
+        marked[own] = 0
+        yield np.flatnonzero(100 * common >= percent * (sizes + len(x) - common))
+
+
+def _link_groups(rows: DataFrame, group: str, value: str, link: Callable, near: Callable) -> DataFrame:
+    """Components (node, root) of the links within each group of rows (group, blocks, class, value).
+
+    Groups of one block are compared whole. Of larger ones the rows of the first block meet those of each other block, which
+    joins most of a group that belongs together. Only rows outside the group's largest component so far then ask
+    all blocks: pairs within one component need no comparison. Each row goes to few tasks unless a group is
+    large and hardly linked; then its blocks meet pair by pair."""
+    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    dealt = rows.select(F.col(group).alias("group"), "blocks", "class", value, own.alias("block"))
+    with_first = F.when(F.col("block") > 0, F.array("block")).when(F.col("blocks") > 1, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))
+    first = dealt.withColumn("g", F.explode(F.transform(with_first, lambda i: F.xxhash64("group", i))))
+    edges = _sorted_by_group(first.select("g", "class", value)).transform(map_batches, _grouped(link, value), "a binary, b binary").distinct()
+    edges = cut(edges, "links")
+    large = dealt.where("blocks > 1")
+    if large.isEmpty():
+        return components(edges)
+    roots = components(edges)
+    known = large.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    known = cut(known, "known")
+    sizes = known.groupBy("group", "root").agg(F.count("*").alias("n"))
+    tops = sizes.groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("top"), (F.sum("n") - F.max("n")).alias("left"), F.sum("n").alias("all"))
+    tops = tops.where("left > 0")
+    asked = known.join(tops, "group").withColumn("turns", F.ceil(F.col("left") * F.col("blocks") / F.col("all")).cast("int"))
+    turn = F.pmod(F.xxhash64("class", F.lit(7)), F.col("turns")).cast("int")
+    pair = lambda t, b: F.xxhash64("group", t, b)
+    there = asked.withColumn("g", F.explode(F.transform(F.sequence(F.lit(0), F.col("turns") - 1), lambda t: pair(t, F.col("block"))))).withColumn("asks", F.lit(False))
+    asking = asked.where("root <> top").withColumn("g", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: pair(turn, b)))).withColumn("asks", F.lit(True))
+    both = there.unionByName(asking).select("g", "asks", "class", "root", value)
+    more = _sorted_by_group(both).transform(map_batches, _cross(near), "a binary, b binary").distinct()
+    return components(cut(edges.union(more), "links"))
+
+
+def _sorted_by_group(rows: DataFrame) -> DataFrame:
+    return rows.repartition("g").sortWithinPartitions("g")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = 100_000) -> DataFrame:
@@ -192,7 +268,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", doc_
        values has no partner. Of the others' values, in order of growing frequency, all but the last 29 form
        the prefix: two classes that agree in 30 must share one of those, so frequent values are seldom posted.
     3. Within a posting list collisions are counted over whole signatures; members already reached are skipped, and
-       each list gives at most one edge a member. Lists of over 4,000 are compared block by block.
+       each list gives at most one edge a member. Lists of over 4,000 go in blocks: the first meets each other, then
+       only members that this leaves apart meet all.
     4. Each group that these edges connect is compared on full sets, again with skipping and in blocks (2,000
        documents, 2 million shingles), which gives the links that count; their components are the result.
     """
@@ -214,7 +291,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", doc_
     prefix = cut(prefix.select("class", F.col("t.token").alias("token")), "prefix")
     lists = prefix.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token", F.ceil(F.col("m") / BLOCK_POSTINGS).cast("int").alias("blocks"))
     members = prefix.join(lists, "token").join(classes.select("class", "signature"), "class")
-    loose = cut(components(_linked(_in_blocks(members, "token", "blocks"), "signature", match_links)), "loose")
+    loose = cut(_link_groups(members, "token", "signature", match_links, near_signatures), "loose")
 
     grouped = loose.select(F.col("node").alias("class"), F.col("root").alias("group")).join(classes.select("class", "n", "row", "rep"), "class")
     sizes = grouped.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -222,8 +299,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", doc_
     side = F.broadcast(wanted) if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows else wanted.hint("merge")
     texts = keyed.select("_k1", "_k2", "text").join(side, ["_k1", "_k2"]).select("class", "group", "text")
     sets = cut(texts.transform(map_batches, _with_sets, "class binary, group binary, shingles array<long>"), "sets")
-    links = _linked(_in_blocks(sets.join(sizes, "group"), "group", "blocks"), "shingles", lambda x: set_links(x, percent))
-    ends = cut(components(links), "components").select(F.col("node").alias("class"), "root")
+    linked = _link_groups(sets.join(sizes, "group"), "group", "shingles", lambda x: set_links(x, percent), lambda x, y: near_sets(x, y, percent))
+    ends = cut(linked, "components").select(F.col("node").alias("class"), "root")
     smallest = ends.join(classes.select("class", "rep"), "class").groupBy("root").agg(F.min("rep").alias("component"))
     named = classes.select("class", "rep").join(ends.join(smallest, "root").select("class", "component"), "class", "left")
     named = cut(named.select("class", F.coalesce("component", "rep").alias("component")), "named")  # then a hot class can be split
