@@ -299,7 +299,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", doc_
     side = F.broadcast(wanted) if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows else wanted.hint("merge")
     texts = keyed.select("_k1", "_k2", "text").join(side, ["_k1", "_k2"]).select("class", "group", "text")
     sets = cut(texts.transform(map_batches, _with_sets, "class binary, group binary, shingles array<long>"), "sets")
-    linked = _link_groups(sets.join(sizes, "group"), "group", "shingles", lambda x: set_links(x, percent), lambda x, y: near_sets(x, y, percent))
+    sizes = cut(sizes, "sizes")
+    sized = sets.join(F.broadcast(sizes) if sizes.limit(broadcast_rows + 1).count() <= broadcast_rows else sizes.hint("merge"), "group")
+    linked = _link_groups(sized, "group", "shingles", lambda x: set_links(x, percent), lambda x, y: near_sets(x, y, percent))
     ends = cut(linked, "components").select(F.col("node").alias("class"), "root")
     smallest = ends.join(classes.select("class", "rep"), "class").groupBy("root").agg(F.min("rep").alias("component"))
     named = classes.select("class", "rep").join(ends.join(smallest, "root").select("class", "component"), "class", "left")
