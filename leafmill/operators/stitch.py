@@ -37,7 +37,7 @@ def stitch(pages: DataFrame, mode: str = "heuristic", doc_id: str = "doc_id", pa
         featured = given.select("doc_id", "page_number", page_features(F.col("markdown")).alias("f"))
         rows = F.array_sort(F.collect_list(F.struct("page_number", "f")))
         gathered = featured.groupBy("doc_id").agg(F.count("*").alias("n_pages"), rows.alias("rows"))
-        out = gathered.select("doc_id", "n_pages", assemble(F.filter("rows", lambda x: F.size(x.f.blocks) > 0), mode == "heuristic_compat").alias("markdown"))
+        out = gathered.select("doc_id", "n_pages", assemble(F.filter("rows", lambda x: x.f.n > 0), mode == "heuristic_compat").alias("markdown"))
     return out.select("doc_id", "markdown", F.length("markdown").alias("n_chars"), "n_pages")
 
 
@@ -60,6 +60,7 @@ def page_features(markdown: Column) -> Column:
     def described(x: Column) -> Column:
         return F.struct(
             x.b.alias("blocks"),
+            F.size(x.b).alias("n"),
             X.first_line(x.first).rlike(X.BLOCK_START).alias("opens"),
             (~x.first.contains("\n")).alias("one_line"),
             start_of(x.tail).alias("start"),
@@ -89,7 +90,7 @@ def decisions(features: Column) -> Column:
 
     def step(state: Column, i: Column) -> Column:
         def decided(kind: Column) -> Column:
-            inherits = (kind == "text") & (F.size(F.get(features, i).blocks) == 1) & F.get(features, i).one_line
+            inherits = (kind == "text") & (F.get(features, i).n == 1) & F.get(features, i).one_line
             return F.concat(state, F.array(F.struct(kind.alias("kind"), F.when(inherits, F.get(state, i - 1).start).otherwise(F.get(features, i).start).alias("start"))))
 
         return X.bind(boundary(F.get(state, i - 1).start, F.get(features, i - 1), F.get(features, i)), decided)
@@ -105,7 +106,7 @@ def lost_tails(features: Column, kinds: Column) -> Column:
     goes_on = lambda i: F.get(kinds, i).kind.isin("text", "table")
 
     def step(later: Column, i: Column) -> Column:  # from the last page to the first; later[0] is that of page i + 1
-        lost = goes_on(i + 1) & ((F.size(F.get(features, i + 1).blocks) > 1) | F.get(later, F.lit(0)))
+        lost = goes_on(i + 1) & ((F.get(features, i + 1).n > 1) | F.get(later, F.lit(0)))
         return F.concat(F.array(F.coalesce(lost, F.lit(False))), later)
 
     n = F.size(features)
@@ -121,7 +122,7 @@ def assemble(rows: Column, compat: bool) -> Column:
 
     def page_text(x: Column, f: Column, i: Column) -> Column:
         kind, previous = F.get(x.kinds, i).kind, F.get(x.f, i - 1)
-        n, first = F.size(f.blocks), F.get(f.blocks, F.lit(0))
+        n, first = f.n, F.get(f.blocks, F.lit(0))
         tight = previous.tight_tail | f.tight_head
         head = (
             F.when(kind == "table", F.concat(F.lit(" |\n"), X.lstrip(X.without_repeated_header(first))))
@@ -148,7 +149,8 @@ def assemble(rows: Column, compat: bool) -> Column:
 
 def boundaries(pages: DataFrame, doc_id: str = "doc_id", page: str = "page_number", markdown: str = "markdown") -> DataFrame:
     """(doc_id, page_number, kind) for each page that isn't blank: "first", "new", "text" or "table"."""
-    rows = pages.select(F.col(doc_id).alias("doc_id"), F.col(page).alias("page_number"), page_features(F.coalesce(F.col(markdown), F.lit(""))).alias("f")).where(F.size("f.blocks") > 0)
+    rows = pages.select(F.col(doc_id).alias("doc_id"), F.col(page).alias("page_number"), page_features(F.coalesce(F.col(markdown), F.lit(""))).alias("f")).where("f.n > 0")
+    rows = rows.withColumn("f", F.col("f").dropFields("blocks"))  # texts stay behind
     gathered = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "f"))).alias("rows"))
     kinds = X.bind(F.transform("rows", lambda r: r.f), lambda f: X.bind(decisions(f), lambda k: k))
     each = gathered.select("doc_id", F.explode(F.arrays_zip(F.transform("rows", lambda r: r.page_number).alias("page_number"), F.transform(kinds, lambda k: k.kind).alias("kind"))).alias("x"))
