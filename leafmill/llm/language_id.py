@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,9 +14,11 @@ from leafmill.llm import lattice
 from leafmill.llm import wordhash as W
 from leafmill.llm.lattice import Pieces
 from leafmill.llm.sentencepiece_sampling import default_model
-from leafmill.llm.tables import map_batches
+from leafmill.llm.tables import cut, map_batches
 
 UNKNOWN = "und"
+#: Expected counts are rounded to a fraction of one.
+UNIT = 1 << 24
 FOUND = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 _LETTER = np.zeros(256, dtype=np.int64)
 _LETTER[[*range(65, 91), *range(97, 123)]] = 1
@@ -76,48 +77,65 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in row[first]], pa.string()), pa.array(spelled, pa.binary()), pa.array(counts, pa.int64())], names=["lang", "word", "n"])
 
 
-def fit(counts: pa.Table | None, pieces: Pieces, rounds: int = 3, smoothing: float = 0.1) -> Model:
-    """Expectation maximisation of each language's piece probabilities over (lang, word, n)."""
-    languages, columns = sorted(counts.column("lang").unique().to_pylist()) if counts is not None else [], []
+def _expected(shared):
+    """(lang, word, n) to (lang, piece, n): how often each piece is expected in the words, in units of 1 / UNIT, whole
+    numbers, so that sums don't depend on how the rows are dealt. One language is held at a time."""
+
+    def told(lang: str, sums: np.ndarray) -> pa.RecordBatch:
+        used = np.flatnonzero(sums)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(sums[used], pa.int64())], names=["lang", "piece", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, languages, chances = shared.value
+        code, held, sums = {x: k for k, x in enumerate(languages)}, None, None
+        for batch in batches:
+            offsets, data = W.column_bytes(batch.column(1))
+            own, times = np.array([code[x] for x in batch.column(0).to_pylist()], dtype=np.int64), batch.column(2).to_numpy()
+            for lang in np.unique(own):
+                if lang != held:
+                    if held is not None:
+                        yield told(languages[held], sums)
+                    held, sums = lang, np.zeros(len(chances) - 1, dtype=np.int64)
+                rows = np.flatnonzero(own == lang)
+                sums += lattice.expected(pieces, data, offsets[rows], offsets[rows + 1], times[rows], chances[:, lang], UNIT)
+        if held is not None:
+            yield told(languages[held], sums)
+
+    return run
+
+
+def fit(counts: DataFrame | None, pieces: Pieces, rounds: int = 3, smoothing: float = 0.1) -> Model:
+    """Expectation maximisation of each language's piece probabilities over (lang, word, n). The expected counts are
+    summed on the executors; vocabulary x languages numbers a round reach the driver, however many words there are."""
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect()) if counts is not None else []
+    code = {x: k for k, x in enumerate(languages)}
     live = np.array([bool(x) for x in pieces.spelling])
-    for lang in languages:
-        own = counts.filter(pc.equal(counts.column("lang"), lang))
-        size = pc.binary_length(own.column("word")).to_numpy().astype(np.int64)
-        data = np.frombuffer(b"".join(own.column("word").to_pylist()), dtype=np.uint8)
-        times = own.column("n").to_numpy().astype(float)
-        start = np.cumsum(size) - size
-        chance = live / live.sum()
-        for _ in range(rounds):
-            column, expected = np.append(chance, 0.0)[:, None], np.zeros(len(chance) + 1)
-            for length, at in lattice.groups(start, size):
-                cuts = pieces.cuts(lattice.matrix(data, start[at], length))
-                ahead, behind = lattice.forward(cuts, column)[:, :, 0], lattice.backward(cuts, column)[:, :, 0]
-                scale = times[at] / ahead[-1]
-                for j in range(length):
-                    for k in range(min(lattice.WIDEST, j + 1)):
-                        ids = cuts[:, j, k]
-                        expected += np.bincount(ids + 1, weights=scale * ahead[j - k] * column[ids, 0] * behind[j + 1], minlength=len(expected))[: len(expected)]
-            chance = (expected[1:] + smoothing) * live
-            chance /= chance.sum()
-        columns.append(chance)
-    table = np.stack(columns, axis=1) if columns else np.zeros((len(live), 0))
-    return Model(pieces, languages, np.vstack([table, np.zeros((1, table.shape[1]))]))
-
-
-def train(labelled: DataFrame, model: str | None = None, text: str = "text", lang: str = "lang", docs_per_language: int = 1500, most_languages: int = 200, most_words: int = 150_000) -> Model:
-    """Fits a model to rows with a text and a non-null lang: at most about `docs_per_language` rows of each of the
-    `most_languages` most frequent languages, chosen by a hash of the row, and the `most_words` most frequent (lang, word)
-    pairs of these. The counts are made on the executors; what reaches the driver is bounded by `most_words`. Words of
-    over 32 bytes aren't learned from. Without any row the model has no language."""
+    table = np.zeros((len(live) + 1, len(languages)))
+    table[:-1] = (live / live.sum())[:, None]
+    for _ in range(rounds if languages else 0):
+        shared = counts.sparkSession.sparkContext.broadcast((pieces, languages, table))
+        found = counts.transform(map_batches, _expected(shared), "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
+        of = np.array([code[x] for x in found.column("lang").to_pylist()], dtype=np.int64)
+        table = np.zeros(table.shape)
+        table[found.column("piece").to_numpy(), of] = found.column("n").to_numpy() / UNIT
+        table[:-1] = (table[:-1] + smoothing) * live[:, None]
+        table /= table.sum(axis=0)
+        shared.unpersist()
+    return Model(pieces, languages, table)
+
+
+def train(labelled: DataFrame, model: str | None = None, text: str = "text", lang: str = "lang", docs_per_language: int = 1500) -> Model:
+    """Fits a model to rows with a text and a non-null lang: at most about `docs_per_language` rows of each language, chosen
+    by a hash of the row, and all words of these; every labelled language with a word is in the model. Words are counted and
+    fitted on the executors; the driver holds the model (vocabulary x languages). Words of over 32 bytes aren't learned
+    from. Without any row the model has no language."""
     pieces = Pieces.load(model or default_model())
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    if not sizes:
-        return fit(None, pieces)
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, docs_per_language / r["count"]))))
+    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), docs_per_language / F.count("*")).alias("share"))
     hashed = F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_003)) / 1_000_003
-    counted = rows.where(hashed < share[F.col("lang")]).transform(map_batches, _counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts = counted.where(F.length("word") <= lattice.BULK).orderBy(F.desc("n"), "lang", "word").limit(most_words).toArrow()
+    chosen = rows.join(F.broadcast(share), "lang").where(hashed < F.col("share")).select("lang", "text")
+    counted = chosen.transform(map_batches, _counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = cut(counted.where(F.length("word") <= lattice.BULK).sortWithinPartitions("lang"), "words")
     return fit(counts, pieces)
 
 

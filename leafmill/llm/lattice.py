@@ -149,6 +149,21 @@ def log_sums(pieces: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarra
     return out
 
 
+def expected(pieces: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray, times: np.ndarray, chance: np.ndarray, unit: int) -> np.ndarray:
+    """[pieces]: how often each piece is expected in all strings, each of which counts `times`, in units of 1 / unit.
+    chance: [pieces + 1], the last zero. Every string's numbers are rounded before they are added."""
+    out, column = np.zeros(len(chance), dtype=np.int64), chance[:, None]
+    for length, own in groups(start, end - start):
+        cuts = pieces.cuts(matrix(data, start[own], length))
+        ahead, behind = forward(cuts, column)[:, :, 0], backward(cuts, column)[:, :, 0]
+        scale, weights = times[own] * unit / ahead[-1], np.zeros(cuts.shape)
+        for j in range(length):
+            for k in range(min(WIDEST, j + 1)):
+                weights[:, j, k] = scale * ahead[j - k] * chance[cuts[:, j, k]] * behind[j + 1]
+        out += np.bincount(cuts.ravel() + 1, weights=np.rint(weights).ravel(), minlength=len(out)).astype(np.int64)
+    return out[1:]
+
+
 def uniform(seeds: np.ndarray, token: np.ndarray, step: int | np.ndarray) -> np.ndarray:
     """In [0, 1): a hash of (seed, token, step)."""
     x = W.mix(seeds ^ W.mix(token.astype(np.uint64) * _C + np.uint64(1) + np.asarray(step, dtype=np.uint64) * _D))

@@ -180,6 +180,17 @@ def test_held_out_accuracy(spark, documents, sf_dir):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_no_language_loses_its_words_to_larger_ones(spark):
+    large = spark.range(320).select(F.lit("large").alias("lang"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.concat(F.lit("w"), (F.col("id") % 160 * 1000 + i).cast("string"))), " ").alias("text"))
+    small = spark.createDataFrame([(f"l{i:03}", f"rare{i}") for i in range(205)], "lang string, text string")
+    assert language_id.train(large.union(small)).languages == ["l" + f"{i:03}" for i in range(205)] + ["large"]
+
+
+def test_training_does_not_depend_on_the_dealing(spark, documents):
+    one, other = (language_id.train(documents.repartition(n)) for n in (2, 7))
+    assert one.languages == other.languages and (one.chances == other.chances).all()
+
+
 def test_held_out_rows(spark):
     import zlib
 
