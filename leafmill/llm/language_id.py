@@ -126,17 +126,16 @@ def fit(counts: DataFrame | None, pieces: Pieces, rounds: int = 3, smoothing: fl
 
 def train(labelled: DataFrame, model: str | None = None, text: str = "text", lang: str = "lang", docs_per_language: int = 1500) -> Model:
     """Fits a model to rows with a text and a non-null lang: at most about `docs_per_language` rows of each language, chosen
-    by a hash of the row, and all words of these; every labelled language with a word is in the model. Words are counted and
-    fitted on the executors; the driver holds the model (vocabulary x languages). Words of over 32 bytes aren't learned
-    from. Without any row the model has no language."""
+    by a hash of the row, and all words of these, of any length; every labelled language with a word is in the model. Words are
+    counted and fitted on the executors; the driver holds the model (vocabulary x languages). Without any row the model
+    has no language."""
     pieces = Pieces.load(model or default_model())
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     share = rows.groupBy("lang").agg(F.least(F.lit(1.0), docs_per_language / F.count("*")).alias("share"))
     hashed = F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_003)) / 1_000_003
     chosen = rows.join(F.broadcast(share), "lang").where(hashed < F.col("share")).select("lang", "text")
     counted = chosen.transform(map_batches, _counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts = cut(counted.where(F.length("word") <= lattice.BULK).sortWithinPartitions("lang"), "words")
-    return fit(counts, pieces)
+    return fit(cut(counted.sortWithinPartitions("lang"), "words"), pieces)
 
 
 def training_rows(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -161,9 +161,59 @@ def expected(pieces: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarra
             for k in range(min(WIDEST, j + 1)):
                 weights[:, j, k] = scale * ahead[j - k] * chance[cuts[:, j, k]] * behind[j + 1]
         out += np.bincount(cuts.ravel() + 1, weights=np.rint(weights).ravel(), minlength=len(out)).astype(np.int64)
+    for i in np.flatnonzero(end - start > BULK):
+        for ids, weights in long_expected(pieces, data[start[i] : end[i]], chance):
+            out += np.bincount(ids + 1, weights=np.rint(weights * (times[i] * unit)), minlength=len(out)).astype(np.int64)
     return out[1:]
 
 
+def _edges(pieces: Pieces, string: np.ndarray, chance: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(end, k, id, chance) of the pieces that end at the bytes lo to hi (exclusive) of one string: k + 1 bytes each."""
+    begin = max(0, lo - WIDEST + 1)
+    ids = pieces.cuts(string[None, begin:hi])[0, lo - begin :]
+    at, k = np.nonzero(ids >= 0)
+    found = ids[at, k]
+    return at + lo, k, found, chance[found]
+
+
+def _run(near: list[float], log: float, at: np.ndarray, k: np.ndarray, chance: np.ndarray, order: range) -> tuple[list[float], float, list[float]]:
+    """Carries a sum along `order`: near[k] is it k + 1 steps ago, times exp(-log). Returns near, log, and the
+    logarithm of each step's. The entries (at, k, chance) are in this order."""
+    logs, i, at, k, chance = [], 0, at.tolist(), k.tolist(), chance.tolist()
+    for j in order:
+        value = 0.0
+        while i < len(at) and at[i] == j:
+            value += near[k[i]] * chance[i]
+            i += 1
+        logs.append(log + math.log(value))
+        near = [value, *near[:-1]]
+        if value < 1e-80:
+            near, log = [x / value for x in near], logs[-1]
+    return near, log, logs
+
+
+def long_expected(pieces: Pieces, string: np.ndarray, chance: np.ndarray, stretch: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, how often each is expected) for one string of any length, a stretch of it at a time; an id comes repeatedly."""
+    size = len(string)
+    logs, back = np.zeros(size + 1), np.zeros(size + 1)
+    near, log = [1.0] + [0.0] * (WIDEST - 1), 0.0
+    for lo in range(0, size, stretch):
+        hi = min(size, lo + stretch)
+        end, k, _, chances = _edges(pieces, string, chance, lo, hi)
+        near, log, logs[lo + 1 : hi + 1] = _run(near, log, end, k, chances, range(lo, hi))
+    near, log = [1.0] + [0.0] * (WIDEST - 1), 0.0
+    for lo in range((size - 1) // stretch * stretch, -1, -stretch):
+        hi = min(size, lo + stretch)
+        end, k, ids, chances = _edges(pieces, string, chance, lo, min(size, hi + WIDEST - 1))
+        start = end - k
+        own = np.flatnonzero((start >= lo) & (start < hi))
+        own = own[np.argsort(-start[own], kind="stable")]
+        end, k, ids, chances, start = end[own], k[own], ids[own], chances[own], start[own]
+        near, log, found = _run(near, log, start, k, chances, range(hi - 1, lo - 1, -1))
+        back[lo:hi] = found[::-1]
+        yield ids, np.exp(logs[start] + np.log(chances) + back[end + 1] - logs[size])
+
+
 def uniform(seeds: np.ndarray, token: np.ndarray, step: int | np.ndarray) -> np.ndarray:
     """In [0, 1): a hash of (seed, token, step)."""
     x = W.mix(seeds ^ W.mix(token.astype(np.uint64) * _C + np.uint64(1) + np.asarray(step, dtype=np.uint64) * _D))

@@ -191,6 +191,38 @@ def test_training_does_not_depend_on_the_dealing(spark, documents):
     assert one.languages == other.languages and (one.chances == other.chances).all()
 
 
+def test_expected_counts_are_sums_over_all_segmentations(pieces):
+    chance = np.append(np.random.default_rng(5).random(len(pieces.spelling)) * [bool(x) for x in pieces.spelling], 0.0)
+    for text in (" the", "日本"):
+        data, expected = np.frombuffer(text.encode(), np.uint8), np.zeros(len(chance) - 1)
+        found = [(c, np.prod(chance[c])) for c in cuts(text.encode(), pieces.ids)]
+        for c, p in found:
+            np.add.at(expected, c, p / sum(x for _, x in found))
+        for stretch in (3, 4096):
+            long = np.zeros(len(expected))
+            for ids, weights in lattice.long_expected(pieces, data, chance, stretch):
+                np.add.at(long, ids, weights)
+            assert np.allclose(long, expected)
+        bulk = lattice.expected(pieces, data, np.array([0]), np.array([len(data)]), np.array([1]), chance, 1 << 24)
+        assert np.allclose(bulk / (1 << 24), expected, atol=1e-6)
+
+
+def test_expected_counts_of_long_words(pieces):
+    chance = np.append(np.array([bool(x) for x in pieces.spelling]) / 32_000, 0.0)
+    for size in (31, 33, 5000):
+        data = np.frombuffer(("長い文章" * size).encode()[: size * 3], np.uint8)
+        found = lattice.expected(pieces, data, np.array([0]), np.array([len(data)]), np.array([2]), chance, 1 << 24) / (1 << 24)
+        assert np.isclose(found @ [len(x) for x in pieces.spelling], 2 * len(data), rtol=1e-5)
+
+
+def test_languages_without_spaces_are_learned(spark):
+    ja, zh = "日本語の文章は単語の間に空白を置かないので一つの文がとても長い単語になる。", "中文的句子在词与词之间没有空格所以整个分句就是一个很长的词语。"
+    docs = spark.createDataFrame([("ja", ja), ("zh", zh), ("en", "words with spaces between them")], "lang string, text string")
+    model = language_id.train(docs)
+    assert model.languages == ["en", "ja", "zh"]
+    assert all(r.language.lang == r.lang for r in language_id.identify(docs, model).collect())
+
+
 def test_held_out_rows(spark):
     import zlib
 
