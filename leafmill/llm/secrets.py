@@ -70,9 +70,9 @@ def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", re
 
     Spans are the three base kinds, always kept, and `owned`: random-looking strings outside them, kept only if their
     verdict is live. The verdict of a value comes from the whole corpus: `example` if its hash occurs under
-    `example_owners` distinct owners or in `example_repositories` distinct repositories or more, else `live` if it
-    looks random, else `weak`. Null owners and repositories count as none. A null text is empty; a repeated row gets
-    the same spans each time and its repository counts once. Extra columns aren't read; values leave only as hashes.
+    `example_owners` distinct owners or more, or under several owners in `example_repositories` distinct repositories or
+    more, else `live` if it looks random, else `weak`. What one owner has stays that owner's, however many copies there
+    are. Null owners and repositories count as none. A null text is empty; a repeated row gets the same spans each time and its repository counts once. Extra columns aren't read; values leave only as hashes.
 
     Texts are read once; what is found (few rows) is written, counted by value with partial aggregation over distinct
     (value, owner, repository), and joined back by value, where hot examples split at run time."""
@@ -84,7 +84,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", re
     each = scanned.select("_k1", "_k2", "repository", "owner", F.explode("spans").alias("s"))
     spread = each.groupBy(F.col("s.value").alias("value")).agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"))
     verdict = (
-        F.when((F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories), "example").when(F.col("s.random"), "live").otherwise("weak")
+        F.when((F.col("owners") >= example_owners) | ((F.col("owners") > 1) & (F.col("repositories") >= example_repositories)), "example").when(F.col("s.random"), "live").otherwise("weak")
     )
     rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("s.kind"))
     judged = (

@@ -74,6 +74,14 @@ def test_widely_copied_random_strings_are_no_secrets(spark):
     assert all(r.spans == [] for r in secrets.scan_secrets(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect())
 
 
+@pytest.mark.parametrize("copies", [10, 30])
+def test_copies_of_one_owner_stay_secrets(spark, copies):
+    docs = [(i, "id aB3dE5gH7jK9mN1pQ3rS5tU7 here", "o1") for i in range(copies)] + [(100 + i, f"id zB3dE5gH7jK9mN1pQ3rS5tU8 {KEY}", f"o{i % 2}") for i in range(copies)]
+    found = {r.doc_id: r.spans for r in secrets.scan_secrets(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert all([(s.kind, s.verdict, s.owners, s.repositories) for s in found[i]] == [("owned", "live", 1, copies)] for i in range(copies))
+    assert all([(s.kind, s.verdict) for s in found[100 + i]] == [("access", "example")] for i in range(copies))
+
+
 def test_secrets_of_documents(spark, documents, small, sf_dir):
     rows = {r.doc_id: r for r in QUERIES["op3_secret_scan"](spark, sf_dir).collect()}
     for i, text in small:
