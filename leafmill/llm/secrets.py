@@ -21,8 +21,10 @@ BASE = {
     "hex": (re.compile(r"[0-9a-f]{24,}"), 0, 24),
 }
 ORDER = [*BASE, "owned"]
-#: Candidates of the method: strings that look random, outside the base spans.
-RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=.-])")
+#: Candidates of the method: strings that look random, outside the base spans; of any length, dotted ones whole, without
+#: full stops at their ends.
+RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-][A-Za-z0-9+/_=.-]{18,}[A-Za-z0-9+/_=-]")
+PART = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
 SCANNED = "spans array<struct<kind:string,start:long,end:long,value:string,random:boolean>>"
 
@@ -45,12 +47,17 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def candidates(text: str, taken: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
-    """Strings with digits and letters of both cases and of high entropy that touch no base span."""
+    """Strings with digits and letters of both cases and of high entropy that touch no base span. Of a dotted string that
+    isn't one the parts of 20 characters or more are tried."""
+
+    def fits(m: re.Match) -> bool:
+        x = m[0]
+        return any(c.isdigit() for c in x) and any(c.islower() for c in x) and any(c.isupper() for c in x) and looks_random(x, 3.5) and not any(m.start() < e and s < m.end() for _, s, e, _ in taken)
+
     found = []
     for m in RANDOM.finditer(text):
-        x = m[0]
-        if any(c.isdigit() for c in x) and any(c.islower() for c in x) and any(c.isupper() for c in x) and looks_random(x, 3.5) and not any(m.start() < e and s < m.end() for _, s, e, _ in taken):
-            found.append(("owned", *m.span(), x))
+        own = [m] if fits(m) else [x for x in PART.finditer(text, *m.span()) if fits(x)] if "." in m[0] else []
+        found += [("owned", *x.span(), x[0]) for x in own]
     return found
 
 

@@ -82,6 +82,21 @@ def test_copies_of_one_owner_stay_secrets(spark, copies):
     assert all([(s.kind, s.verdict) for s in found[100 + i]] == [("access", "example")] for i in range(copies))
 
 
+def test_candidates_of_any_length_and_place():
+    key = "aB3dE5gH7jK9mN1pQ3rS5tU7"
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    long = "".join(random.Random(1).choices("abcdefghijkLMNOPQRSTUVWXYZ0123456789", k=5000))
+
+    def values(text):
+        return [text[s:e] for _, s, e, v in secrets.candidates(text, secrets.base_spans(text)) if v == text[s:e]]
+
+    for value in (key, jwt, long, long[:200], long[:201], long[:250] + "." + long[250:300]):
+        for text in (value, f"x {value} y", f"It is {value}.", f"It is {value}...\nNext.", f"({value}), ...{value[:0]}"):
+            assert values(text) == [value]
+    assert values(f"{'a' * 400}.{key}") == [key] and values(f"{KEY}.{key}") == [key]
+    assert values("short.aB3 and plain.words.with.dots.and.nothing.else " + "A" * 50_000 + ".") == []
+
+
 def test_secrets_of_documents(spark, documents, small, sf_dir):
     rows = {r.doc_id: r for r in QUERIES["op3_secret_scan"](spark, sf_dir).collect()}
     for i, text in small:
