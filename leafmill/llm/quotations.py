@@ -98,7 +98,7 @@ def links(parsed: DataFrame) -> DataFrame:
 
     A passage asks with the hash of the whole (weight: its lines + 1) and of each line (weight 1) for the latest earlier
     message of its conversation with such a unit; the message with the largest weight, and of these the latest, is
-    the source. What finds none there asks the corpus for the first message with the whole passage."""
+    the source. What finds none there asks the corpus for the first message of another conversation with the whole passage."""
     each = parsed.select("conv", "turn", "row", F.posexplode("passages").alias("passage", "p"))
     asks = F.concat(
         F.array(F.struct(F.col("p.hash").alias("hash"), (F.size("p.line_hashes") + 1).alias("weight"))),
@@ -112,10 +112,11 @@ def links(parsed: DataFrame) -> DataFrame:
     ranked = within.groupBy("conv", "turn", "row", "passage", "source").agg(F.sum("weight").alias("weight"))
     best = ranked.groupBy("conv", "turn", "row", "passage").agg(F.max(F.struct("weight", "source")).alias("best"))
     first = units.groupBy("hash").agg(F.min(F.struct("conv", "turn")).alias("first"))
+    second = units.join(first, "hash").where("conv <> first.conv").groupBy("hash").agg(F.min(F.struct("conv", "turn")).alias("second"))
     passages = probes.select("conv", "turn", "row", "passage", "level", F.col("whole").alias("hash")).distinct()
-    found = passages.join(best, ["conv", "turn", "row", "passage"], "left").join(first, "hash", "left")
+    found = passages.join(best, ["conv", "turn", "row", "passage"], "left").join(first, "hash", "left").join(second, "hash", "left")
     inside = F.col("best").isNotNull()
-    elsewhere = F.when(F.col("first.conv") != F.col("conv"), F.col("first"))
+    elsewhere = F.when(F.col("first.conv") != F.col("conv"), F.col("first")).when(F.col("first.conv") == F.col("conv"), F.col("second"))
     return found.select(
         "conv", "turn", "row", "passage", "level",
         F.when(inside, F.col("conv")).otherwise(elsewhere.conv).alias("source_conv"), F.when(inside, F.col("best.source")).otherwise(elsewhere.turn).alias("source_turn"),

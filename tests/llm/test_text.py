@@ -379,6 +379,13 @@ def test_reply_order(spark):
     assert [s.conv for r in rows for m in r.messages for s in m.sources if r.conv_id == 2] == [1]
 
 
+def test_a_passage_that_its_own_conversation_repeats_later_is_linked_elsewhere(spark):
+    rows = [(1, 0, "user", "> said elsewhere\nwhat of it"), (1, 1, "user", "said elsewhere"), (3, 2, "user", "said elsewhere"), (2, 5, "user", "said elsewhere"), (2, 4, "user", "> said elsewhere\nx"), (None, 1, "user", "> said elsewhere\ny")]
+    found = quotations.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    told = {(r.conv_id, m.turn): [(s.conv, s.turn) for s in m.sources] for r in found for m in r.messages}
+    assert told[1, 0] == [(2, 5)] and told[2, 4] == [(1, 1)] and told[None, 1] == [(None, None)]
+
+
 def depth_first(parents):
     children = {}
     for turn, parent in sorted(parents.items()):
