@@ -19,6 +19,8 @@ from leafmill.llm.tables import cut, map_batches
 UNKNOWN = "und"
 #: Expected counts are rounded to a fraction of one.
 UNIT = 1 << 24
+#: No piece gets a smaller chance.
+LEAST = 1e-9
 FOUND = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 _LETTER = np.zeros(256, dtype=np.int64)
 _LETTER[[*range(65, 91), *range(97, 123)]] = 1
@@ -33,7 +35,7 @@ class Model:
     def scores(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
         """[rows, languages]: logarithm of each text's probability."""
         rows = len(offsets) - 1
-        raw, start, end, row, hashes = words(offsets, data)
+        raw, start, end, row, hashes = words(self.pieces, offsets, data)
         _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         sums = lattice.log_sums(self.pieces, raw, start[first], end[first], self.chances)
         return np.stack([np.bincount(row, weights=sums[which, c], minlength=rows) for c in range(len(self.languages))], axis=1)
@@ -47,12 +49,15 @@ class Model:
         return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, odds.max(axis=1), 0.0).tolist()
 
 
-def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(bytes, start, end, row, hash) of all words, each behind one space in the bytes given."""
+def words(pieces: Pieces, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(bytes, start, end, row, hash) of all words, each behind one space in the bytes given; long ones in the parts
+    that Pieces.split() gives."""
     found = W.words(offsets, data, W.NON_SPACE)
     raw = np.insert(data, found.start, 32)
-    start = found.start + np.arange(len(found.start))
-    return raw, start, start + found.end - found.start + 1, found.doc, found.hash
+    opens = found.start + np.arange(len(found.start))
+    start, end = pieces.split(raw, opens, opens + found.end - found.start + 1)
+    row = found.doc if len(start) == len(opens) else found.doc[np.searchsorted(opens, start, side="right") - 1]
+    return raw, start, end, row, W.span_hashes(raw, start, end)
 
 
 def has_letter(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -64,17 +69,23 @@ def has_letter(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(pieces):
     """(lang, text) to (lang, word, n), the word behind a space."""
-    for batch in batches:
-        langs, counts = batch.column(0).to_pylist(), {}
-        offsets, data = W.column_bytes(batch.column(1))
-        raw, start, end, row, hashes = words(offsets, data)
-        code = {x: k for k, x in enumerate(dict.fromkeys(langs))}
-        own = np.array([code[x] for x in langs], dtype=np.uint64)[row]
-        _, first, counts = np.unique(W.mix(hashes ^ W.mix(own + np.uint64(1))), return_index=True, return_counts=True)
-        spelled = [raw[start[i] : end[i]].tobytes() for i in first]
-        yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in row[first]], pa.string()), pa.array(spelled, pa.binary()), pa.array(counts, pa.int64())], names=["lang", "word", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            offsets, data = W.column_bytes(batch.column(1))
+            for lo, hi in W.blocks(batch.num_rows, offsets, 2 * W.MB):
+                langs = names[lo:hi]
+                raw, start, end, row, hashes = words(pieces.value, offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]])
+                code = {x: k for k, x in enumerate(dict.fromkeys(langs))}
+                own = np.array([code[x] for x in langs], dtype=np.uint64)[row]
+                _, first, counts = np.unique(W.mix(hashes ^ W.mix(own + np.uint64(1))), return_index=True, return_counts=True)
+                spelled = [raw[start[i] : end[i]].tobytes() for i in first]
+                yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in row[first]], pa.string()), pa.array(spelled, pa.binary()), pa.array(counts, pa.int64())], names=["lang", "word", "n"])
+
+    return run
 
 
 def _expected(shared):
@@ -120,6 +131,7 @@ def fit(counts: DataFrame | None, pieces: Pieces, rounds: int = 3, smoothing: fl
         table[found.column("piece").to_numpy(), of] = found.column("n").to_numpy() / UNIT
         table[:-1] = (table[:-1] + smoothing) * live[:, None]
         table /= table.sum(axis=0)
+        table[:-1] = np.maximum(table[:-1], LEAST * live[:, None])
         shared.unpersist()
     return Model(pieces, languages, table)
 
@@ -134,7 +146,8 @@ def train(labelled: DataFrame, model: str | None = None, text: str = "text", lan
     share = rows.groupBy("lang").agg(F.least(F.lit(1.0), docs_per_language / F.count("*")).alias("share"))
     hashed = F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_003)) / 1_000_003
     chosen = rows.join(F.broadcast(share), "lang").where(hashed < F.col("share")).select("lang", "text")
-    counted = chosen.transform(map_batches, _counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    shared = chosen.sparkSession.sparkContext.broadcast(pieces)
+    counted = chosen.transform(map_batches, _counted(shared), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     return fit(cut(counted.sortWithinPartitions("lang"), "words"), pieces)
 
 

@@ -39,11 +39,13 @@ def padded(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, np.insert(data, offsets[:-1][filled], 32)
 
 
-def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, end) of the stretches that no piece reaches across: each begins at a space or is a line break or
-    begins behind one. Together they are all of the bytes."""
+def segments(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the stretches that no piece reaches across: each begins with a row (`rows`, positions), with a run of spaces, or
+    is a line break or begins behind one. Together they are all of the bytes."""
     opens = (data == 32) | (data == 10)
+    opens[1:] &= (data[1:] == 10) | (data[:-1] != 32)
     opens[1:] |= data[:-1] == 10
+    opens[rows] = True
     start = np.flatnonzero(opens)
     return start, np.append(start[1:], len(data)).astype(np.int64)
 
@@ -58,7 +60,7 @@ class Coder:
         """(number of ids of each row, ids)."""
         rows = len(offsets) - 1
         at, raw = padded(offsets, data)
-        start, end = segments(raw)
+        start, end = self.pieces.split(raw, *segments(raw, at[:-1][np.diff(at) > 0]))
         row = np.searchsorted(at, start, side="right") - 1
         token = np.arange(len(row)) - np.searchsorted(row, row)
         counts, ids = sample(self.pieces, self.chances, raw, start, end, seeds[row], token)
@@ -94,9 +96,9 @@ def encode(docs: DataFrame, model: str | None = None, seed: int = 0, theta: floa
     """Adds the struct column `into`: ids (one sampled segmentation of the whole text), lossless (the ids were decoded and
     gave the text).
 
-    The lattice has all pieces of the model of up to 16 bytes; a piece's chance falls with its rank (Zipf's rule to
+    The lattice has all pieces of the model; a piece's chance falls with its rank (Zipf's rule to
     the power theta; a small theta samples more freely), and byte pieces spell what no other piece does. A text gets
-    a leading space, each space begins a piece ("▁"), a literal "▁" is spelled in bytes, so ids stand for one text
+    a leading space, each run of spaces begins a piece ("▁"), a literal "▁" is spelled in bytes, so ids stand for one text
     only. Draws are hashes of (seed, key columns, place in the text): a row is segmented alike in any partition and
     in any run. Null and empty texts have no ids; repeated rows get equal ids; null keys are allowed. Other
     columns pass through, one named `into` is replaced. No shuffle; the vocabulary (0.5 MB) is broadcast."""

@@ -122,7 +122,18 @@ def cuts(string, ids):
     """All segmentations."""
     if not string:
         return [[]]
-    return [[ids[string[:n]], *rest] for n in range(1, min(len(string), lattice.WIDEST) + 1) if string[:n] in ids for rest in cuts(string[n:], ids)]
+    return [[ids[string[:n]], *rest] for n in range(1, len(string) + 1) if string[:n] in ids for rest in cuts(string[n:], ids)]
+
+
+def plain_sums(string, pieces, chances):
+    """Logarithms of the sums at all positions, byte by byte."""
+    out = np.full((len(string) + 1, chances.shape[1]), -np.inf)
+    out[0] = 0
+    for j in range(1, len(string) + 1):
+        found = [(i, pieces.ids[string[i:j]]) for i in range(max(0, j - pieces.widest), j) if string[i:j] in pieces.ids]
+        with np.errstate(divide="ignore"):
+            out[j] = np.logaddexp.reduce(out[[i for i, _ in found]] + np.log(chances[[x for _, x in found]]), axis=0)
+    return out
 
 
 def array(texts):
@@ -131,20 +142,63 @@ def array(texts):
 
 def test_every_piece_is_found(pieces):
     strings = list(pieces.ids)
-    for size in (1, 2, 5, 16):
+    assert pieces.widest == max(map(len, strings)) == 25 and b" " * 16 in pieces.ids
+    for size in range(1, pieces.widest + 1):
         some = [s for s in strings if len(s) == size][:500]
-        found = pieces.cuts(np.frombuffer(b"".join(some), np.uint8).reshape(-1, size))[:, size - 1, size - 1]
-        assert found.tolist() == [pieces.ids[s] for s in some]
+        if some:
+            found = pieces.cuts(np.frombuffer(b"".join(some), np.uint8).reshape(-1, size))[size - 1, size - 1]
+            assert found.tolist() == [pieces.ids[s] for s in some]
+
+
+UNSPACED = ["日本語テスト😀" * 30, "ไม่มีช่องว่าง" * 60, "x" * 1500, "Становништво" * 200, "qwertyuiopasdfgh" * 300, " " * 3000, "aB3" + "==" * 700, "한국어" * 700]
+
+
+def in_bytes(text):
+    data = np.frombuffer(text.encode() if isinstance(text, str) else text, np.uint8)
+    return data, np.array([0]), np.array([len(data)])
 
 
-def test_forward_sums_all_segmentations(pieces):
+@pytest.fixture(params=[(1024, 128, 1 << 15), (7, 32, 64), (40, 32, 32)])
+def sizes(request, monkeypatch):
+    for name, value in zip(("LONG", "SPAN", "STRETCH"), request.param, strict=True):
+        monkeypatch.setattr(lattice, name, value)
+
+
+def test_sums_over_all_segmentations(pieces, sizes):
     r = np.random.default_rng(0)
-    chances = np.vstack([r.random((len(pieces.spelling), 3)), np.zeros((1, 3))])
-    for string in (b" the", b" Hello", b"\xe6\x97\xa5x", b" ation"):
-        expected = sum(np.prod(chances[c], axis=0) for c in cuts(string, pieces.ids))
-        table = pieces.cuts(np.frombuffer(string, np.uint8)[None])
-        assert np.allclose(lattice.forward(table, chances)[-1, 0], expected) and np.allclose(lattice.backward(table, chances)[0, 0], expected)
-        assert np.allclose(np.exp(lattice.long_forward(pieces, string, chances)[-1]), expected)
+    chances = np.vstack([r.random((len(pieces.spelling), 3)) ** 4, np.zeros((1, 3))])
+    for text in (b" the", b" Hello", b"\xe6\x97\xa5x", b" ation", b" mixed lengths"):
+        expected = sum(np.prod(chances[c], axis=0) for c in cuts(text, pieces.ids))
+        assert np.allclose(np.exp(plain_sums(text, pieces, chances)[-1]), expected)
+        assert np.allclose(np.exp(lattice.log_sums(pieces, *in_bytes(text), chances)), expected)
+    for text in UNSPACED:
+        data, start, end = in_bytes(text)
+        expected = plain_sums(data.tobytes(), pieces, chances)[-1]
+        assert np.allclose(lattice.log_sums(pieces, data, start, end, chances, languages=2), expected)
+        start, end = pieces.split(data, start, end)
+        assert start[0] == 0 and end[-1] == len(data) and (start[1:] == end[:-1]).all()
+        assert np.allclose(lattice.log_sums(pieces, data, start, end, chances).sum(axis=0), expected)
+
+
+def test_rare_bytes_do_not_underflow(pieces):
+    chances = np.append(np.where([bool(x) for x in pieces.spelling], 1e-9, 0), 0.0)[:, None]
+    for size in (32, 1000, 5000):
+        data, start, end = in_bytes(bytes(range(128, 256)) * (size // 32))
+        found = lattice.log_sums(pieces, data, start, end, chances)[0, 0]
+        assert np.isclose(found, plain_sums(data.tobytes(), pieces, chances)[-1, 0]) and np.isfinite(found)
+
+
+def test_places_that_no_piece_reaches_across(pieces):
+    text = " Hello日本語の文章 and_some_code(x)Становништвоไม่มี" * 3 + "\n"
+    data, start, end = in_bytes(text)
+    string, free = data.tobytes(), [0]
+    for b in range(1, len(string)):
+        if not any(string[i:j] in pieces.ids for i in range(max(0, b - pieces.widest), b) for j in range(b + 1, min(len(string), i + pieces.widest) + 1)):
+            free.append(b)
+    assert pieces.split(data, start, end)[0].tolist() == free
+    two = np.concatenate([data, data[:10], data])
+    opens, closes = np.array([0, len(data), len(data) + 10]), np.array([len(data), len(data) + 10, 2 * len(data) + 10])
+    assert pieces.split(two, opens, closes)[0].tolist() == [*free, len(data), *(len(data) + 10 + x for x in free)]
 
 
 def test_samples_follow_the_chances(pieces):
@@ -160,12 +214,28 @@ def test_samples_follow_the_chances(pieces):
     total = sum(weights.values())
     assert set(seen) <= set(weights) and len(seen) > 8
     assert all(abs(seen.get(c, 0) / n - w / total) < 0.01 for c, w in weights.items())
-    long = [tuple(lattice.long_sample(pieces, chances, string, np.uint64(5), np.int64(t))[::-1]) for t in range(3000)]
-    top = max(weights, key=weights.get)
-    assert abs(long.count(top) / 3000 - weights[top] / total) < 0.04
+    long = lattice.long_samples(pieces, chances, np.frombuffer(string, np.uint8), np.full(3000, 5, np.uint64), np.arange(3000))
+    assert [tuple(x[::-1]) for x in long] == [tuple(ids[a:b]) for a, b in zip((ends - counts)[:3000], ends[:3000], strict=True)]
+
 
+def test_samples_of_long_strings_follow_the_chances(pieces, sizes):
+    """The first piece of a long string, and how often its cuts fall on each place, against the exact probabilities."""
+    r, n = np.random.default_rng(7), 4000
+    chances = np.append(r.random(len(pieces.spelling)) * [bool(x) for x in pieces.spelling], 0.0)[:, None]
+    string = b"thereandthenothermanifestationsinthehouse"
+    ahead, back = plain_sums(string, pieces, chances)[:, 0], np.array([plain_sums(string[i:], pieces, chances)[-1, 0] for i in range(len(string))] + [0.0])
+    exact = np.exp(ahead + back - ahead[-1])
+    counts, ids = lattice.sample(pieces, chances, np.frombuffer(string * n, np.uint8), np.arange(n) * len(string), (np.arange(n) + 1) * len(string), np.full(n, 3, np.uint64), np.arange(n))
+    width, seen, at = np.array([len(x) for x in pieces.spelling]), np.zeros(len(string) + 1), 0
+    for c in counts:
+        places = np.concatenate([[0], np.cumsum(width[ids[at : at + c]])])
+        assert places[-1] == len(string) and b"".join(pieces.spelling[i] for i in ids[at : at + c]) == string
+        seen[places] += 1
+        at += c
+    assert np.abs(seen / n - exact).max() < 0.04
 
-TEXTS = ["Hello  world\n x▁y\n\n", "", "日本語テスト😀 a" * 3, " ", "x" * 5000 + " " + "ab" * 500, "\n", "\x00\x7f tab\t", "▁▁"]
+
+TEXTS = [*UNSPACED, "  two rows of spaces   ", " and next", "Hello  world\n x▁y\n\n", "", "日本語テスト😀 a" * 3, " ", "x" * 5000 + " " + "ab" * 500, "\n", "\x00\x7f tab\t", "▁▁"]
 
 
 def test_encoding_is_lossless(pieces):
@@ -214,28 +284,54 @@ def test_training_does_not_depend_on_the_dealing(spark, documents):
     assert one.languages == other.languages and (one.chances == other.chances).all()
 
 
-def test_expected_counts_are_sums_over_all_segmentations(pieces):
+def test_expected_counts_are_sums_over_all_segmentations(pieces, sizes):
     chance = np.append(np.random.default_rng(5).random(len(pieces.spelling)) * [bool(x) for x in pieces.spelling], 0.0)
-    for text in (" the", "日本"):
-        data, expected = np.frombuffer(text.encode(), np.uint8), np.zeros(len(chance) - 1)
+    for text in (" the", "日本", " manifest"):
+        expected = np.zeros(len(chance) - 1)
         found = [(c, np.prod(chance[c])) for c in cuts(text.encode(), pieces.ids)]
         for c, p in found:
             np.add.at(expected, c, p / sum(x for _, x in found))
-        for stretch in (3, 4096):
-            long = np.zeros(len(expected))
-            for ids, weights in lattice.long_expected(pieces, data, chance, stretch):
-                np.add.at(long, ids, weights)
-            assert np.allclose(long, expected)
-        bulk = lattice.expected(pieces, data, np.array([0]), np.array([len(data)]), np.array([1]), chance, 1 << 24)
-        assert np.allclose(bulk / (1 << 24), expected, atol=1e-6)
+        told = lattice.expected(pieces, *in_bytes(text), np.array([3]), chance, 1 << 24)
+        assert np.allclose(told / (1 << 24), 3 * expected, atol=1e-6)
+        long = np.zeros(len(expected))
+        for ids, weights in lattice.long_expected(pieces, in_bytes(text)[0], chance[:, None]):
+            np.add.at(long, ids, weights)
+        assert np.allclose(long, expected)
 
 
-def test_expected_counts_of_long_words(pieces):
+def test_expected_counts_cover_every_byte(pieces):
     chance = np.append(np.array([bool(x) for x in pieces.spelling]) / 32_000, 0.0)
-    for size in (31, 33, 5000):
-        data = np.frombuffer(("長い文章" * size).encode()[: size * 3], np.uint8)
-        found = lattice.expected(pieces, data, np.array([0]), np.array([len(data)]), np.array([2]), chance, 1 << 24) / (1 << 24)
-        assert np.isclose(found @ [len(x) for x in pieces.spelling], 2 * len(data), rtol=1e-5)
+    for text in UNSPACED:
+        data, start, end = in_bytes(text)
+        whole = lattice.expected(pieces, data, start, end, np.array([2]), chance, 1 << 24) / (1 << 24)
+        assert np.isclose(whole @ [len(x) for x in pieces.spelling], 2 * len(data), rtol=1e-5)
+        start, end = pieces.split(data, start, end)
+        assert np.allclose(lattice.expected(pieces, data, start, end, np.full(len(start), 2), chance, 1 << 24) / (1 << 24), whole, rtol=1e-4, atol=1e-3)
+
+
+def test_text_without_spaces_costs_about_as_much_as_with(pieces):
+    import time
+
+    coder, r, costs = sentencepiece_sampling.Coder(pieces), np.random.default_rng(1), []
+    letters = r.integers(97, 123, 400_000).astype(np.uint8)
+    spaced = letters.copy()
+    spaced[::7] = 32
+    for data in (spaced, letters):
+        began = time.perf_counter()
+        coder.encode(np.array([0, len(data)]), data, np.ones(1, np.uint64))
+        costs.append(time.perf_counter() - began)
+    assert costs[1] < 5 * costs[0]
+
+
+def test_a_language_of_whole_clauses(spark):
+    """Sixty ideographs without a space in each document."""
+    r = random.Random(2)
+    zh = ["".join(chr(r.randint(0x4E00, 0x5000)) for _ in range(60)) for _ in range(200)]
+    en = [" ".join(r.choice(("the", "house", "of", "many", "words", "stands")) for _ in range(12)) for _ in range(200)]
+    docs = spark.createDataFrame([("zh", x) for x in zh] + [("en", x) for x in en], "lang string, text string").repartition(4)
+    model = language_id.train(docs)
+    assert model.languages == ["en", "zh"]
+    assert all(r.language.lang == r.lang for r in language_id.identify(docs, model).collect())
 
 
 def test_languages_without_spaces_are_learned(spark):
