@@ -49,8 +49,8 @@ def bind_left(line: Column, body) -> Column:
     return X.bind(F.left(X.lstrip(line), F.lit(1)), body)
 
 
-def page_features(markdown: Column) -> Column:
-    """What the decisions about a page need: its blocks; whether the first opens a block and is one line only;
+def page_features(markdown: Column, texts: bool = True) -> Column:
+    """What the decisions about a page need: its blocks (with `texts`) and their number; whether the first opens a block and is one line only;
     how its last line starts and ends; its last character's effect on a join."""
 
     def of(blocks: Column) -> Column:
@@ -59,7 +59,7 @@ def page_features(markdown: Column) -> Column:
 
     def described(x: Column) -> Column:
         return F.struct(
-            x.b.alias("blocks"),
+            *([x.b.alias("blocks")] if texts else []),
             F.size(x.b).alias("n"),
             X.first_line(x.first).rlike(X.BLOCK_START).alias("opens"),
             (~x.first.contains("\n")).alias("one_line"),
@@ -149,9 +149,8 @@ def assemble(rows: Column, compat: bool) -> Column:
 
 def boundaries(pages: DataFrame, doc_id: str = "doc_id", page: str = "page_number", markdown: str = "markdown") -> DataFrame:
     """(doc_id, page_number, kind) for each page that isn't blank: "first", "new", "text" or "table"."""
-    rows = pages.select(F.col(doc_id).alias("doc_id"), F.col(page).alias("page_number"), page_features(F.coalesce(F.col(markdown), F.lit(""))).alias("f")).where("f.n > 0")
-    rows = rows.withColumn("f", F.col("f").dropFields("blocks"))  # texts stay behind
-    gathered = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "f"))).alias("rows"))
+    rows = pages.select(F.col(doc_id).alias("doc_id"), F.col(page).alias("page_number"), page_features(F.coalesce(F.col(markdown), F.lit("")), texts=False).alias("f"))
+    gathered = rows.groupBy("doc_id").agg(F.filter(F.array_sort(F.collect_list(F.struct("page_number", "f"))), lambda r: r.f.n > 0).alias("rows"))
     kinds = X.bind(F.transform("rows", lambda r: r.f), lambda f: X.bind(decisions(f), lambda k: k))
     each = gathered.select("doc_id", F.explode(F.arrays_zip(F.transform("rows", lambda r: r.page_number).alias("page_number"), F.transform(kinds, lambda k: k.kind).alias("kind"))).alias("x"))
     return each.select("doc_id", "x.page_number", "x.kind")

@@ -93,6 +93,12 @@ def test_boundaries(spark):
     assert found == {(0, 1): "first", (0, 2): "text", (1, 1): "first", (1, 2): "new", (2, 1): "first", (2, 2): "table", (3, 1): "first", (3, 3): "text"}
 
 
+def test_boundaries_look_at_each_page_once(spark, documents):
+    plan = boundaries(page_split(documents))._jdf.queryExecution().optimizedPlan().toString()
+    whole = stitch(page_split(documents))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= whole.count("split(") and plan.count("RLIKE") <= whole.count("RLIKE")
+
+
 def test_unknown_mode(spark, documents):
     with pytest.raises(ValueError):
         stitch(page_split(documents), "other")
