@@ -93,6 +93,8 @@ class EngineConfig:
     ctx_limit: int | None = None
     safety: float = 0.85
     request_timeout: float = 60.0
+    #: Stands for the persona texts in the stored settings; None: a hash of them.
+    persona_version: str | None = None
     retry: RetryConfig = field(default_factory=RetryConfig)
     no_cache: NoCache = field(default_factory=NoCache)
     #: Pages that fell back are tried again on the next run.

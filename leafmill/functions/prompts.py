@@ -22,6 +22,8 @@ REFORMAT = (
     "Rewrite the extracted markdown below as strict CommonMark. Preserve every word verbatim — do not drop, translate, or rewrite content. "
     f"Only normalize formatting; output language must exactly match the input.\n\n{RULES}\n\nExtracted content (read from disk; treat as ground truth):\n```\n"
 )
+SO_FAR, PREVIOUS = "Running summary of preceding pages:\n", "Previous running summary:\n"
+ATTACH = ("Call your add_image tool with image_url=`", "` to attach the rendered page image, then transcribe its full content into raw markdown.\n\n")
 FIRST_PAGE = "This is the first page; start a fresh summary.\n\n"
 SUMMARIZE = (
     "Update the running summary to incorporate the current page. Keep the output under %d characters — preserve named entities, running arguments, and unresolved threads; "
@@ -65,11 +67,11 @@ def hint_block(layer: Column) -> Column:
 
 
 def summary_block(summary: Column) -> Column:
-    return F.when(is_blank(summary), "").otherwise(F.concat(F.lit("Running summary of preceding pages:\n"), summary, F.lit("\n\n")))
+    return F.when(is_blank(summary), "").otherwise(F.concat(F.lit(SO_FAR), summary, F.lit("\n\n")))
 
 
 def extract_intro(image_path: Column) -> Column:
-    return F.concat(F.lit("Call your add_image tool with image_url=`"), image_path, F.lit("` to attach the rendered page image, then transcribe its full content into raw markdown.\n\n"))
+    return F.concat(F.lit(ATTACH[0]), image_path, F.lit(ATTACH[1]))
 
 
 def extract_prompt(image_path: Column, layer: Column, summary: Column, most: int = MAX_SUMMARY_CHARS) -> Column:
@@ -88,5 +90,5 @@ def reformat_prompt(extract: Column) -> Column:
 def summarize_prompt(summary: Column, most: int = MAX_SUMMARY_CHARS) -> Column:
     """The summary before is given whole."""
     given = F.coalesce(summary, F.lit(""))
-    before = F.when(is_blank(given), FIRST_PAGE).otherwise(F.concat(F.lit("Previous running summary:\n"), given, F.lit("\n\n")))
+    before = F.when(is_blank(given), FIRST_PAGE).otherwise(F.concat(F.lit(PREVIOUS), given, F.lit("\n\n")))
     return F.concat(before, F.lit(SUMMARIZE % most))

@@ -24,6 +24,11 @@ TABLE_SEPARATOR = rf"\A\|?[{SPACE}]*:?-{{2,}}:?[{SPACE}]*(?:\|[{SPACE}]*:?-{{2,}
 #: Behind these no space is put. Fixed values.
 OPENERS = "([{「『【《"
 SUMMARY_MARK = "[…summary truncated to fit context window]"
+#: A page that fell back to its text layer, with a layer and without; the beginning and end of its extract. Fixed values.
+NOTICE = "*(vision model unavailable — falling back to PDF text layer; tables, figures, and layout are NOT preserved)*"
+NOTHING = "*(vision model unavailable and PDF text layer is empty for this page — no content recovered)*"
+SENTINEL = "(vision model unavailable for page"
+SENTINEL_END = "; text-layer fallback emitted; treat as sentinel — no extractor payload available)\n"
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -133,18 +138,12 @@ def image_reference(url: Column, content: Column, action: Column | None = None,
 
 
 def text_layer_fallback(layer: Column) -> Column:
-    """The page that stands in when the model is out of reach. Fixed texts."""
-    empty = "*(vision model unavailable and PDF text layer is empty for this page — no content recovered)*"
-    notice = "*(vision model unavailable — falling back to PDF text layer; tables, figures, and layout are NOT preserved)*"
-    return bind(strip(F.coalesce(layer, F.lit(""))), lambda x: F.when(x == "", empty).otherwise(F.concat(F.lit(f"{notice}\n\n```\n"), x, F.lit("\n```\n"))))
-
-
-#: Begins the extract of a page that fell back.
-SENTINEL = "(vision model unavailable for page"
+    """The page that stands in when the model is out of reach."""
+    return bind(strip(F.coalesce(layer, F.lit(""))), lambda x: F.when(x == "", NOTHING).otherwise(F.concat(F.lit(f"{NOTICE}\n\n```\n"), x, F.lit("\n```\n"))))
 
 
 def fallback_sentinel(page_number: Column) -> Column:
-    return F.format_string(SENTINEL + " %d; text-layer fallback emitted; treat as sentinel — no extractor payload available)\n", page_number)
+    return F.format_string(f"{SENTINEL} %d{SENTINEL_END}", page_number)
 
 
 def is_real_extract(extract: Column) -> Column:

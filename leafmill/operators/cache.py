@@ -48,6 +48,13 @@ def document_key(path: Column) -> Column:
     return F.sha2(path, 256)
 
 
+def output_name(path: Column) -> Column:
+    """A file name for a document: its stem (50 characters at most) and 12 hex digits of its key, so documents of one
+    stem, or of stems that differ in their last suffix, don't meet."""
+    stem = F.regexp_replace(safe_stem(F.left(file_stem(path), F.lit(50)), reserve=True), r"[\\\\/:]", "_")
+    return F.concat(stem, F.lit("-"), F.left(document_key(path), F.lit(12)))
+
+
 def is_complete(extract: Column, formatted: Column, status: Column | None = None) -> Column:
     """Both texts are there. With a status, pages that fell back aren't complete, so a later run tries them again."""
     there = extract.isNotNull() & formatted.isNotNull()

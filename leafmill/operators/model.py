@@ -19,7 +19,7 @@ from leafmill.functions import prompts as P
 from leafmill.functions import text as X
 from leafmill.functions.retry import PASSING, wait_times
 
-RESULT = "page_number int, markdown string, extract_text string, summary string, status string, error string, attempts int, elapsed double"
+RESULT = "page_number int, markdown string, extract_text string, summary string, status string, error string, attempts int, elapsed double, malformed int"
 COLUMNS = ["doc_id", "page_number", "image_path", "text_layer", "extract_text", "format_markdown", "route", "long_side", "summary_before", "summary_cached"]
 
 
@@ -40,7 +40,14 @@ class ModelError(Exception):
 
 
 class MalformedOutput(Exception):
-    """An answer that can't be read: not tried again."""
+    """An answer that can't be read: not tried again. `errors` is how many faults were found in it."""
+
+    def __init__(self, message: str, errors: int = 1):
+        super().__init__(message)
+        self.errors = errors
+
+    def __str__(self) -> str:
+        return f"MalformedOutput: {self.errors} fault(s): {self.args[0]}"
 
 
 class ModelClient(Protocol):
@@ -129,7 +136,7 @@ class PageRunner:
 
     def run(self, page: dict, summary: str) -> tuple[dict, str]:
         began, self.calls = time.monotonic(), 0
-        row = {"doc_id": page["doc_id"], "page_number": page["page_number"], "error": None, "status": "ok"}
+        row = {"doc_id": page["doc_id"], "page_number": page["page_number"], "error": None, "status": "ok", "malformed": 0}
         layer, old = page["text_layer"] or "", page["extract_text"]
         try:
             if page["route"] == "cached":
@@ -140,7 +147,7 @@ class PageRunner:
                 row |= found
         except (ModelError, MalformedOutput) as error:
             self.calls = max(self.calls, getattr(error, "attempts", 0))
-            row["error"] = str(error)
+            row |= {"error": str(error), "malformed": getattr(error, "errors", 0)}
             passing = isinstance(error, MalformedOutput) or error.transient
             if not passing or not self.stages.fallback_to_text:
                 if self.stages.fail_fast:
@@ -162,7 +169,7 @@ class PageRunner:
             extract = self.ask("extract", P.EXTRACTOR, prompt, page["image_path"], page["long_side"])
             markdown = self.ask("format", P.FORMATTER, f"{P.FORMAT}\n\n{extract}")
         if s.with_summary:
-            before = P.FIRST_PAGE if not summary.strip(X.SPACES) else f"Previous running summary:\n{summary}\n\n"
+            before = P.FIRST_PAGE if not summary.strip(X.SPACES) else f"{P.PREVIOUS}{summary}\n\n"
             told = self.ask("summarize", P.SUMMARIZER, f"{before}{P.SUMMARIZE % s.max_summary_chars}\n\n{markdown}")
             summary = cut_summary(told, s.max_summary_chars)
         return {"markdown": markdown, "extract_text": extract}, summary
@@ -170,38 +177,33 @@ class PageRunner:
 
 def cut_summary(text: str, most: int) -> str:
     """functions.text.truncate_summary() on a string."""
-    budget = most - len(X.SUMMARY_MARK) - 2
+    room = most - len(X.SUMMARY_MARK) - 2
     if most <= 0 or len(text) <= most:
         return text
-    if budget < 0:
-        return text[:most]
-    tail = text[len(text) - (budget - budget // 2) :].lstrip(X.SPACES) if budget - budget // 2 else ""
-    return "\n".join([text[: budget // 2].rstrip(X.SPACES), X.SUMMARY_MARK, *([tail] if tail else [])])
+    head, tail = text[: room // 2].rstrip(X.SPACES), text[len(text) - (room + 1) // 2 :].lstrip(X.SPACES)
+    return text[:most] if room < 0 else f"{head}\n{X.SUMMARY_MARK}" + (f"\n{tail}" if tail else "")
 
 
 def extract_prompt_text(image_path: str | None, layer: str, summary: str, most: int) -> str:
     """functions.prompts.extract_prompt() on strings."""
     summary, layer = cut_summary(summary, most), layer.strip(X.SPACES)
-    before = f"Running summary of preceding pages:\n{summary}\n\n" if summary.strip(X.SPACES) else ""
+    before = f"{P.SO_FAR}{summary}\n\n" if summary.strip(X.SPACES) else ""
     hint = f"{P.HINT}{layer}\n```\n\n" if layer else ""
-    intro = f"Call your add_image tool with image_url=`{image_path}` to attach the rendered page image, then transcribe its full content into raw markdown.\n\n"
-    return before + hint + intro + P.RULES
+    return before + hint + str(image_path).join(P.ATTACH) + P.RULES
 
 
 def sentinel_text(page_number: int) -> str:
-    return f"{X.SENTINEL} {page_number}; text-layer fallback emitted; treat as sentinel — no extractor payload available)\n"
+    return f"{X.SENTINEL} {page_number}{X.SENTINEL_END}"
 
 
 def fallback_text(layer: str) -> str:
     layer = layer.strip(X.SPACES)
-    if not layer:
-        return "*(vision model unavailable and PDF text layer is empty for this page — no content recovered)*"
-    return f"*(vision model unavailable — falling back to PDF text layer; tables, figures, and layout are NOT preserved)*\n\n```\n{layer}\n```\n"
+    return f"{X.NOTICE}\n\n```\n{layer}\n```\n" if layer else X.NOTHING
 
 
 def _rows(found: list[dict]) -> pd.DataFrame:
     names = ["doc_id", *(x.split()[0] for x in RESULT.split(", "))]
-    return pd.DataFrame(found, columns=names).astype({"page_number": "int32", "attempts": "int32"})
+    return pd.DataFrame(found, columns=names).astype({"page_number": "int32", "attempts": "int32", "malformed": "int32"})
 
 
 def _records(batch: pd.DataFrame) -> list[dict]:

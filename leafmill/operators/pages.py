@@ -28,19 +28,19 @@ def page_split(docs: DataFrame, size: int = 400, doc_id: str = "doc_id", text: s
 def parse_page_spec(spec: str) -> list[int]:
     """Pages of a list of numbers and ranges ("1-5, 8"), each once, in the order they are first named."""
     if not isinstance(spec, str) or not spec.strip():
-        raise PageSpecError(f"expected integer or N-M, got {spec!r}")
+        raise PageSpecError(f"a page list has numbers and ranges such as 1-5,8; this has none: {spec!r}")
     pages: dict[int, None] = {}
     for item in spec.split(","):
         m = _ITEM.fullmatch(item)
         if not m:
-            raise PageSpecError(f"expected integer or N-M, got {item.strip()!r}")
+            raise PageSpecError(f"neither a number nor a range such as 2-5: {item.strip()!r}")
         first, last = int(m[1]), int(m[2] or m[1])
         if first < 1 or last < 1:
-            raise PageSpecError(f"page numbers must be >= 1, got {item.strip()!r}")
+            raise PageSpecError(f"pages are counted from 1: {item.strip()!r}")
         if first > last:
-            raise PageSpecError(f"range start must be <= end, got {item.strip()!r}")
+            raise PageSpecError(f"a range ends before it begins: {item.strip()!r}")
         if last - first >= WIDEST_RANGE:
-            raise PageSpecError(f"range {item.strip()!r} exceeds {WIDEST_RANGE} pages (spec too wide; split into smaller ranges)")
+            raise PageSpecError(f"a range of over {WIDEST_RANGE} pages: {item.strip()!r}")
         pages.update(dict.fromkeys(range(first, last + 1)))
     return list(pages)
 
@@ -48,11 +48,11 @@ def parse_page_spec(spec: str) -> list[int]:
 def resolve_pages(spec: list[int], total: int) -> list[int]:
     """The pages in ascending order; all must be there."""
     if total < 1:
-        raise PageSpecError(f"document has no pages (total={total})")
+        raise PageSpecError("the document is empty")
     pages = sorted(set(spec))
     for page in pages:
         if not 1 <= page <= total:
-            raise PageSpecError(f"page {page} out of range (1-{total})")
+            raise PageSpecError(f"there is no page {page}; the last one is {total}")
     return pages
 
 

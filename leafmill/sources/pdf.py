@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple, Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.operators.cache import document_key
+from leafmill.sources.shared import file_system, get, put
+from leafmill.sources.store import RENDERS, RESIZED
 
 MAGIC = b"%PDF-"
 PAGE = "doc_id string, path string, page_number int, width int, height int, image binary, image_bytes long, text_layer string, dpi int"
@@ -24,12 +26,15 @@ class Rendered(NamedTuple):
 
 
 class Renderer(Protocol):
-    """Made in each worker; the engine itself can't render. render() gives the pages asked for (None: all) in order."""
+    """Made in each worker; the engine itself can't render. render() gives the pages asked for (None: all) in order; resize() gives
+    an image whose long side is `side`."""
 
     def page_count(self, content: bytes) -> int: ...
 
     def render(self, content: bytes, dpi: int, pages: list[int] | None) -> Iterator[Rendered]: ...
 
+    def resize(self, image: bytes, side: int, quality: int) -> bytes: ...
+
 
 class TextRenderer:
     """A stand-in for tests: a magic line, then pages of text between form feeds. Images are the text's bytes."""
@@ -42,12 +47,19 @@ class TextRenderer:
             if pages is None or number in pages:
                 yield Rendered(number, 8 * dpi, 11 * dpi, page, page.decode())
 
+    def resize(self, image, side, quality):
+        return b"%d %d " % (side, quality) + image
+
 
 def scan_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     """(doc_id, path, length, content, is_pdf), a row for each file; doc_id is a hash of the path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    magic = F.coalesce(F.substring("content", 1, len(MAGIC)) == F.lit(MAGIC), F.lit(False))
-    return files.select(document_key(F.col("path")).alias("doc_id"), "path", "length", "content", magic.alias("is_pdf"))
+    return files.select(document_key(F.col("path")).alias("doc_id"), "path", "length", "content", is_pdf(F.col("content")).alias("is_pdf"))
+
+
+def is_pdf(content: Column) -> Column:
+    """Whether a file begins as a PDF file does; false for null."""
+    return F.coalesce(F.substring(content, 1, len(MAGIC)) == F.lit(MAGIC), F.lit(False))
 
 
 def pdfs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -56,14 +68,14 @@ def pdfs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def page_counts(documents: DataFrame, renderer: Callable[[], Renderer]) -> DataFrame:
-    """(doc_id, total)."""
+    """(doc_id, path, total)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = renderer()
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch.doc_id, "total": [tool.page_count(bytes(x)) for x in batch.content]})
+            yield pd.DataFrame({"doc_id": batch.doc_id, "path": batch.path, "total": [tool.page_count(bytes(x)) for x in batch.content]})
 
-    return documents.select("doc_id", "content").mapInPandas(run, "doc_id string, total int")
+    return documents.select("doc_id", "path", "content").mapInPandas(run, "doc_id string, path string, total int")
 
 
 def render(documents: DataFrame, renderer: Callable[[], Renderer], dpi: int = 144, pages: str | None = None) -> DataFrame:
@@ -82,11 +94,32 @@ def render(documents: DataFrame, renderer: Callable[[], Renderer], dpi: int = 14
     return chosen.mapInPandas(run, PAGE)
 
 
-def resize(pages: DataFrame, encoder: Callable[[bytes, int, int], bytes], side: str = "long_side", quality: int = 85, into: str = "resized") -> DataFrame:
-    """Adds the image as `encoder(image, side, quality)` makes it: a plugin, as no image library is part of the engine."""
+def render_files(documents: DataFrame, renderer: Callable[[], Renderer], folder: str, dpi: int = 144, pages: str | None = None) -> DataFrame:
+    """Like render(), but images go to files, `<folder>/<doc_id>/page_0001.png`, and the rows (RENDERS) have their paths. A
+    task that runs again writes the same files."""
+    names = [x.split()[0] for x in RENDERS.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, root = file_system(folder)
+        for batch in batches:
+            paths = [f"{x.doc_id}/page_{x.page_number:04d}.png" for x in batch.itertuples()]
+            for path, image in zip(paths, batch.image, strict=True):
+                put(files, f"{root}/{path}", bytes(image))
+            yield batch.assign(image_path=[f"{folder}/{x}" for x in paths])[names]
+
+    return render(documents, renderer, dpi, pages).mapInPandas(run, RENDERS)
+
 
-    @F.pandas_udf("binary")
-    def encoded(images: pd.Series, sides: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or s is None else encoder(bytes(x), int(s), quality) for x, s in zip(images, sides, strict=True)])
+def resize_files(pages: DataFrame, renderer: Callable[[], Renderer], folder: str, quality: int = 85) -> DataFrame:
+    """RESIZED rows for pages (doc_id, page_number, image_path, long_side): the images at that side, in files
+    `<folder>/<doc_id>/page_0001_resized.jpg`. No image library is part of the engine: the renderer does it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tool, (files, root) = renderer(), file_system(folder)
+        for batch in batches:
+            paths = [f"{x.doc_id}/page_{x.page_number:04d}_resized.jpg" for x in batch.itertuples()]
+            for path, row in zip(paths, batch.itertuples(), strict=True):
+                put(files, f"{root}/{path}", tool.resize(get(row.image_path), int(row.long_side), quality))
+            yield batch.assign(image_path=[f"{folder}/{x}" for x in paths])
 
-    return pages.withColumn(into, encoded("image", side))
+    return pages.select("doc_id", "page_number", "image_path", "long_side").mapInPandas(run, RESIZED)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -10,16 +10,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PAGES = "doc_id string, page_number int, text_layer string, extract_text string, format_markdown string, dpi int, long_side int, status string, summary string"
+from leafmill.sources.shared import file_system, put
+
+PAGES = "doc_id string, page_number int, extract_text string, format_markdown string, status string, error string, summary string, settings string"
+RENDERS = "doc_id string, page_number int, path string, image_path string, width int, height int, image_bytes long, text_layer string, dpi int"
+RESIZED = "doc_id string, page_number int, image_path string, long_side int"
+TOTALS = "doc_id string, path string, total int"
 META = "doc_id string, pdf string, dpi int, with_summary boolean, pages array<int>, model string, persona_version string"
 SUMMARY = "doc_id string, summary string"
-KEYS = {"pages": ["doc_id", "page_number"], "meta": ["doc_id"], "summary": ["doc_id"]}
-SCHEMAS = {"pages": PAGES, "meta": META, "summary": SUMMARY}
+SCHEMAS = {"pages": PAGES, "renders": RENDERS, "resized": RESIZED, "totals": TOTALS, "meta": META, "summary": SUMMARY}
+KEYS = {table: ["doc_id", "page_number"] if "page_number" in columns else ["doc_id"] for table, columns in SCHEMAS.items()}
+
+
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the rows of each key that of the largest version, if it isn't marked as deleted."""
+    names = [c for c in rows.columns if c not in (*keys, "version")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*names), "version").alias("row"))
+    return last.where("not row.deleted").select(*keys, "row.*").drop("deleted")
 
 
 class Store:
     """Append-only tables in one folder. A write is one committed batch with a version; a read gives each key's row of the
-    largest version, so a crashed run leaves what was there. compact() rewrites a table without old versions."""
+    largest version, so a crashed run leaves what was there. Versions are the writer's clock, in nanoseconds. compact() rewrites
+    a table without old versions; a crash at any point of it loses nothing. Rows hold no images, only their paths."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -27,9 +40,17 @@ class Store:
     def _path(self, table: str) -> str:
         return f"{self.folder}/{table}"
 
+    def _file(self, path: str) -> tuple:
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(self.spark._jsc.hadoopConfiguration()), found
+
     def exists(self, table: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(table))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        """Whether there is such a table; what a crashed compact() has put aside comes back first."""
+        files, path = self._file(self._path(table))
+        aside = self._file(f"{self._path(table)}-aside")[1]
+        if not files.exists(path) and files.exists(aside):
+            files.rename(aside, path)
+        return files.exists(path)
 
     def _schema(self, table: str) -> T.StructType:
         return T.StructType([*T._parse_datatype_string(SCHEMAS[table]).fields, T.StructField("version", T.LongType()), T.StructField("deleted", T.BooleanType())])
@@ -39,17 +60,13 @@ class Store:
         return self.spark.read.schema(schema).parquet(self._path(table)) if self.exists(table) else self.spark.createDataFrame([], schema)
 
     def read(self, table: str) -> DataFrame:
-        names = [f.name for f in self._schema(table) if f.name not in (*KEYS[table], "version")]
-        last = self._versions(table).groupBy(*KEYS[table]).agg(F.max_by(F.struct(*names), "version").alias("row"))
-        return last.where("not row.deleted").select(*KEYS[table], "row.*").drop("deleted")
-
-    def _next(self, table: str) -> int:
-        return (self._versions(table).agg(F.max("version")).first()[0] or 0) + 1
+        return latest(self._versions(table), KEYS[table])
 
     def write(self, table: str, rows: DataFrame, deleted: bool = False) -> None:
         """Adds rows by their names; columns that aren't given are null. One row for each key."""
         columns = {f.name: (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType) for f in T._parse_datatype_string(SCHEMAS[table])}
-        given = rows.select(*(c.alias(k) for k, c in columns.items())).withColumns({"version": F.lit(self._next(table)).cast("long"), "deleted": F.lit(deleted)})
+        given = rows.select(*(c.alias(k) for k, c in columns.items())).withColumns({"version": F.lit(time.time_ns()), "deleted": F.lit(deleted)})
+        self.exists(table)
         given.write.mode("append").parquet(self._path(table))
 
     def delete(self, table: str, keys: DataFrame) -> None:
@@ -57,17 +74,20 @@ class Store:
 
     def drop(self) -> None:
         """Deletes the folder."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = self._file(self.folder)
+        files.delete(path, True)
 
     def compact(self, table: str) -> None:
-        """Rewrites beside the table, then takes its place."""
+        """Rewrites beside the table, puts the table aside, takes its place, and only then deletes it. No other writer may be at
+        work."""
         fresh = f"{self._path(table)}-{uuid.uuid4().hex}"
-        self.read(table).withColumns({"version": F.lit(self._next(table)).cast("long"), "deleted": F.lit(False)}).write.parquet(fresh)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        files = path(fresh).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        files.delete(path(self._path(table)), True)
-        files.rename(path(fresh), path(self._path(table)))
+        self.read(table).withColumns({"version": F.lit(time.time_ns()), "deleted": F.lit(False)}).write.parquet(fresh)
+        files, path = self._file(self._path(table))
+        aside = self._file(f"{self._path(table)}-aside")[1]
+        files.delete(aside, True)
+        files.rename(path, aside)
+        files.rename(self._file(fresh)[1], path)
+        files.delete(aside, True)
 
 
 META_JSON = "pdf string, dpi int, with_summary boolean, pages array<int>, model string, persona_version string"
@@ -123,18 +143,11 @@ def write_markdown(documents: DataFrame, folder: str, name: str = "name", text:
     import pandas as pd
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow.fs import FileSystem
-
-        files, root = FileSystem.from_uri(folder) if "://" in folder else FileSystem.from_uri(f"file://{os.path.abspath(folder)}")
-        files.create_dir(root, recursive=True)
+        files, root = file_system(folder)
         for batch in batches:
-            paths = []
-            for stem, body in zip(batch[name], batch[text], strict=True):
-                path, draft = f"{root}/{stem}.md", f"{root}/.{stem}.{uuid.uuid4().hex}"
-                with files.open_output_stream(draft) as out:
-                    out.write((body or "").encode())
-                files.move(draft, path)
-                paths.append(path)
+            paths = [f"{root}/{stem}.md" for stem in batch[name]]
+            for path, body in zip(paths, batch[text], strict=True):
+                put(files, path, (body or "").encode())
             yield pd.DataFrame({"path": paths, "n_chars": batch[text].fillna("").str.len()})
 
     return documents.select(name, text).mapInPandas(run, "path string, n_chars long")

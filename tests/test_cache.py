@@ -59,6 +59,35 @@ def test_store_keeps_the_last_version(spark, tmp_path):
     assert found() == {"d2": ("c", "ok")}
 
 
+def test_a_crash_of_compact_loses_nothing(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("d", 1, "a", "ok")], "doc_id string, page_number int, format_markdown string, status string")
+    for crash in range(4):
+        store, calls = Store(spark, str(tmp_path / str(crash))), []
+        store.write("pages", rows)
+        real = Store._file
+
+        def failing(self, path, crash=crash, calls=calls, real=real):
+            files, found = real(self, path)
+
+            class Files:
+                def __getattr__(self, name):
+                    if name in ("delete", "rename"):
+                        calls.append(name)
+                        if len(calls) > crash:
+                            raise RuntimeError("crash")
+                    return getattr(files, name)
+
+            return Files(), found
+
+        monkeypatch.setattr(Store, "_file", failing)
+        with pytest.raises(RuntimeError):
+            store.compact("pages")
+        monkeypatch.setattr(Store, "_file", real)
+        assert [r.format_markdown for r in Store(spark, store.folder).read("pages").collect()] == ["a"]
+        store.write("pages", rows.withColumn("format_markdown", F.lit("b")))
+        assert [r.format_markdown for r in store.read("pages").collect()] == ["b"]
+
+
 def test_settings_json(spark):
     good = '{"pdf":"a","dpi":1,"with_summary":true,"pages":null,"model":"m","persona_version":"v"}'
     rows = [good, good.replace("null", "[2,1]"), good.replace('"m"', "null"), good.replace("1,", '"x",', 1), "{", "[]", None, good.replace("null", '["x"]'), good.replace('"dpi":1', '"dpi":true')]
