@@ -20,6 +20,10 @@ KNOWN = {
 }
 
 
+#: Entries of a catalogue; servers list some hundred.
+MOST_ENTRIES = 100_000
+
+
 def entry_limit(entry: Column | None = None) -> Column:
     """The first positive of FIELDS (of the row, or of a struct), CEILING at most; null where there is none."""
     value = lambda f: F.col(f) if entry is None else entry[f]
@@ -37,11 +41,13 @@ def resolve_limits(models: DataFrame, catalogue: DataFrame, model: str = "model"
     the first whose id contains the name, in the catalogue's order (`pos`), among entries that have a limit; else the table.
 
     Names are few next to rows: the theta join runs over distinct names, against a catalogue that is read in full for each
-    of them; catalogues have some hundred entries."""
+    of them. It is broadcast, and a catalogue of more than MOST_ENTRIES with a limit is refused."""
     entries = catalogue.select(F.col("pos").alias("_pos"), F.lower(F.coalesce("id", F.lit(""))).alias("_id"), entry_limit().alias("_limit")).where("_limit is not null")
+    if entries.limit(MOST_ENTRIES + 1).count() > MOST_ENTRIES:
+        raise ValueError(f"a catalogue of more than {MOST_ENTRIES} models")
     names = models.select(F.col(model).alias("_name")).distinct()
     wanted = F.lower("_name")
-    pairs = names.join(entries, F.contains(F.col("_id"), wanted))
+    pairs = names.join(F.broadcast(entries), F.contains(F.col("_id"), wanted))
     best = pairs.groupBy("_name").agg(F.min_by("_limit", F.struct((F.col("_id") != wanted).alias("tier"), "_pos")).alias("_probed"))
     joined = models.join(best, models[model].eqNullSafe(F.col("_name")), "left")
     forced = F.when(F.col(override) > 0, F.col(override)) if override else F.lit(None).cast("long")

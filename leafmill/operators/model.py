@@ -110,6 +110,9 @@ def call_with_retry(call: Callable[[], str], retry: RetryConfig, timeout: float
         attempt += 1
         try:
             return within(timeout, call), attempt
+        except MalformedOutput as error:
+            error.attempts = attempt
+            raise
         except ModelError as error:
             error.attempts = attempt
             if not error.transient or attempt == retry.max_attempts:

@@ -2,44 +2,51 @@
 
 import re
 
+# Characters that end a sentence or a block; starts of blocks; brackets that no space follows; ideographs.
+ENDS, OPENERS = "。！？；?!.．)]】」』\"'`", "([{「『【《"
+BLOCK = re.compile(r"#{1,6}\s|[-*+]\s|\d+\.\s|>\s|```|\|\s")
+IDEOGRAPHS = [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2F800, 0x2FA1F)]
+
+
+def paragraphs(page):
+    """Runs of lines that aren't blank."""
+    found = [[]]
+    for line in (page or "").strip().split("\n"):
+        if line.strip():
+            found[-1].append(line)
+        elif found[-1]:
+            found.append([])
+    return ["\n".join(lines) for lines in found if lines]
 
-def stitched(pages, compat=False):
-    """Blocks are joined as strings, page by page."""
-    out, buf = [], ""
-    for page in pages:
-        blocks = [b.strip("\n") for b in re.split(r"\n\s*\n", (page or "").strip())]
-        blocks = [b for b in blocks if b.strip()]
-        if not blocks:
-            continue
-        if buf:
-            tail = [x for x in buf.rstrip().split("\n") if x.strip()][-1]
-            head = [x for x in blocks[0].lstrip().split("\n") if x.strip()][0]
-            row = tail.lstrip().startswith("|") and not tail.rstrip().endswith("|")
-            ended = re.search(r"[。！？；?!.．)\]】」』\"'`]+\s*$", tail.rstrip())
-            opens = re.match(r"\s*(?:#{1,6}\s|[-*+]\s|\d+\.\s|>\s|```|\|\s)", head)
-            if tail.lstrip().startswith("#") or not (row or (not ended and not opens)):
-                out.append(buf)
-                buf = ""
-            else:
-                block, blocks = blocks[0], blocks[1:]
-                if row:
-                    lines = block.split("\n")
-                    if len(lines) >= 3 and re.match(r"\s*\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)+\|?\s*$", lines[1].strip()):
-                        block = "\n".join(lines[2:])
-                    buf = buf.rstrip() + " |\n" + block.lstrip()
-                else:
-                    a, b = buf.rstrip(), block.lstrip()
-                    close = a[-1] in "([{「『【《" or any(is_ideograph(c) for c in (a[-1], b[0]))
-                    buf = a + ("" if close else " ") + b
-                if not blocks:
-                    continue
-                if not compat:
-                    out.append(buf)
-        out += blocks[:-1]
-        buf = blocks[-1]
-    return "\n\n".join([*out, buf] if buf else out)
+
+def is_header_rule(line):
+    cells = line.strip().removeprefix("|").removesuffix("|").split("|")
+    return len(cells) > 1 and all(re.fullmatch(r"\s*:?--+:?\s*", x) for x in cells)
 
 
 def is_ideograph(c):
-    ranges = [(0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F)]
-    return any(a <= ord(c) <= b for a, b in ranges)
+    return any(a <= ord(c) <= b for a, b in IDEOGRAPHS)
+
+
+def met(above, below):
+    """The block that two blocks on either side of a page's end make; None if the second is a block of its own."""
+    above, last = above.rstrip(), above.rstrip().rpartition("\n")[2]
+    mark = last.lstrip()[:1]
+    if mark == "|" and last[-1] != "|":
+        rows = below.split("\n")
+        body = rows[2:] if len(rows) > 2 and is_header_rule(rows[1]) else rows
+        return f"{above} |\n" + "\n".join(body).lstrip()
+    if mark == "#" or last[-1] in ENDS or BLOCK.match(below.lstrip().partition("\n")[0]):
+        return None
+    return above + " " * (last[-1] not in OPENERS and not is_ideograph(last[-1]) and not is_ideograph(below[0])) + below
+
+
+def stitched(pages, compat=False):
+    out = []
+    for first, *rest in filter(None, map(paragraphs, pages)):
+        joined = met(out[-1], first) if out else None
+        if joined is None:
+            out += [first, *rest]
+        else:
+            out[-1:] = rest if compat and rest else [joined, *rest]
+    return "\n\n".join(out)

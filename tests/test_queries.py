@@ -5,7 +5,7 @@ from leafmill.plans.oracle import ORACLE
 from leafmill.plans.queries import QUERIES
 from tests.oracle import connect, rows_of, rows_of_sql
 
-WITH_PYTHON = {"model_stages", "model_summary"}
+WITH_PYTHON = {"model_stages", "model_summary", "model_reformat", "model_retries", "stitch_stream"}
 
 
 @pytest.fixture(scope="module")
