@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.tables import cut, partitions_for
+from leafmill.llm.tables import column, cut, partitions_for, spread
 
 SLOTS, KICKS = 4, 200
 
@@ -192,7 +192,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     SHA-256 digests are built in the JVM and written once (about 80 bytes a document); the cuckoo index over them gives
     each live digest its keeper, and one join takes that back to the rows. Hot digests split at run time there."""
-    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), F.sha2(squeezed(F.col(text)), 256).alias("text_sha256")), "digests")
+    rows = cut(spread(docs.select(column(doc_id).alias("doc_id"), column(text).alias("text"))).select("doc_id", F.sha2(squeezed(F.col("text")), 256).alias("text_sha256")), "digests")
     changes = rows.select(F.unhex("text_sha256").alias("digest"), "doc_id", F.lit(1).alias("delta"))
     index = update_index(changes).where(F.col("digest").isNotNull())
     live = index.select(F.lower(F.hex("digest")).alias("text_sha256"), "keep_id", F.col("rows").alias("group_size"))

@@ -14,7 +14,7 @@ from leafmill.llm import lattice
 from leafmill.llm import wordhash as W
 from leafmill.llm.lattice import Pieces
 from leafmill.llm.sentencepiece_sampling import default_model
-from leafmill.llm.tables import cut, map_batches
+from leafmill.llm.tables import column, cut, map_batches, scratch, spread
 
 UNKNOWN = "und"
 #: Expected counts are rounded to a fraction of one.
@@ -142,13 +142,14 @@ def train(labelled: DataFrame, model: str | None = None, text: str = "text", lan
     counted and fitted on the executors; the driver holds the model (vocabulary x languages). Without any row the model
     has no language."""
     pieces = Pieces.load(model or default_model())
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    rows = labelled.where(column(lang).isNotNull() & column(text).isNotNull()).select(column(lang).cast("string").alias("lang"), column(text).alias("text"))
     share = rows.groupBy("lang").agg(F.least(F.lit(1.0), docs_per_language / F.count("*")).alias("share"))
     hashed = F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_003)) / 1_000_003
-    chosen = rows.join(F.broadcast(share), "lang").where(hashed < F.col("share")).select("lang", "text")
+    chosen = spread(rows).join(F.broadcast(share), "lang").where(hashed < F.col("share")).select("lang", "text")  # a row a language, as the model has columns
     shared = chosen.sparkSession.sparkContext.broadcast(pieces)
     counted = chosen.transform(map_batches, _counted(shared), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return fit(cut(counted.sortWithinPartitions("lang"), "words"), pieces)
+    with scratch():
+        return fit(cut(counted.sortWithinPartitions("lang"), "words"), pieces)
 
 
 def training_rows(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -190,4 +191,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", into: str = "lan
     schema = T.StructType([*docs.schema.fields, T.StructField(into, FOUND)])
     if not model.languages:
         return docs.withColumn(into, F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score")))
-    return docs.transform(map_batches, _predictor(docs.sparkSession.sparkContext.broadcast(model), text, into), schema)
+    return spread(docs).transform(map_batches, _predictor(docs.sparkSession.sparkContext.broadcast(model), text, into), schema)

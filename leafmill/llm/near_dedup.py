@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,11 +13,11 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import wordhash as W
 from leafmill.llm.components import components
-from leafmill.llm.tables import cut, map_batches, row_keys
+from leafmill.llm.tables import column, cut, map_batches, row_keys, scratch, spread, unused
 
 SHINGLE, COORDINATES, MATCHES = 5, 64, 30
 #: Documents, and shingles, that one task compares with as many others; larger groups are compared in blocks.
-BLOCK_DOCS, BLOCK_SHINGLES, BLOCK_POSTINGS = 2000, 2_000_000, 4000
+BLOCK_DOCS, BLOCK_SHINGLES, BLOCK_POSTINGS = 500, 2_000_000, 1000
 _MULTIPLIERS = W.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -65,13 +66,13 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, group, text) to (class, group, shingles)."""
+    """(class, cells, text) to (class, cells, shingles)."""
     for batch in batches:
         at = 0
         for sets in _each_block(batch.column(2)):
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), batch.column(1).slice(at, len(sets)), lists], names=["class", "group", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), batch.column(1).slice(at, len(sets)), lists], names=["class", "cells", "shingles"])
             at += len(sets)
 
 
@@ -206,7 +207,12 @@ def near_sets(asking: list[np.ndarray], others: list[np.ndarray], percent: int =
         yield np.flatnonzero(100 * common >= percent * (sizes + len(x) - common))
 
 
-def _link_groups(rows: DataFrame, group: str, value: str, link: Callable, near: Callable) -> DataFrame:
+def small_side(df: DataFrame, most: int) -> DataFrame:
+    """One side of a join: broadcast if it has at most so many rows, else for a sort-merge join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
+
+
+def _link_groups(rows: DataFrame, group: str, value: str, link: Callable, near: Callable, broadcast_rows: int) -> DataFrame:
     """Components (node, root) of the links within each group of rows (group, blocks, class, value).
 
     Groups of one block are compared whole. Of larger ones the rows of the first block meet those of each other block, which
@@ -227,8 +233,8 @@ def _link_groups(rows: DataFrame, group: str, value: str, link: Callable, near:
     known = cut(known, "known")
     sizes = known.groupBy("group", "root").agg(F.count("*").alias("n"))
     tops = sizes.groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("top"), (F.sum("n") - F.max("n")).alias("left"), F.sum("n").alias("all"))
-    tops = tops.where("left > 0")
-    asked = known.join(tops, "group").withColumn("turns", F.ceil(F.col("left") * F.col("blocks") / F.col("all")).cast("int"))
+    tops = cut(tops.where("left > 0"), "tops")  # a row for each group of several blocks
+    asked = known.join(small_side(tops, broadcast_rows), "group").withColumn("turns", F.ceil(F.col("left") * F.col("blocks") / F.col("all")).cast("int"))
     turn = F.pmod(F.xxhash64("class", F.lit(7)), F.col("turns")).cast("int")
     pair = lambda t, b: F.xxhash64("group", t, b)
     there = asked.withColumn("g", F.explode(F.transform(F.sequence(F.lit(0), F.col("turns") - 1), lambda t: pair(t, F.col("block"))))).withColumn("asks", F.lit(False))
@@ -242,13 +248,35 @@ def _sorted_by_group(rows: DataFrame) -> DataFrame:
     return rows.repartition("g").sortWithinPartitions("g")
 
 
+def _cells(grouped: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
+    """Adds to (class, group, n) the array `cells`, (group, blocks), in which a class is compared.
+
+    Linked sets differ in size by 100 / percent at most. So sizes are put into classes of that ratio and a bit, and a cell has
+    the sets of a group that lie in one class of sizes or in the next: every link lies in a cell, and a group whose texts
+    have other lengths is never compared as a whole."""
+    ratio = math.log(100 / percent * 1.001)
+    sized = grouped.withColumn("size", F.floor(F.log(F.col("n")) / ratio).cast("int"))
+    counts = sized.groupBy("group", "size").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    above = counts.select("group", (F.col("size") - 1).alias("size"), F.col("docs").alias("more_docs"), F.col("shingles").alias("more"))
+    both = counts.join(above, ["group", "size"], "left").na.fill(0, ["more_docs", "more"])
+    blocks = F.greatest(F.ceil((F.col("docs") + F.col("more_docs")) / BLOCK_DOCS), F.ceil((F.col("shingles") + F.col("more")) / BLOCK_SHINGLES)).cast("int")
+    cell = F.struct(F.xxhash64("group", "size").alias("group"), blocks.alias("blocks"))
+    own = cut(both.select("group", "size", cell.alias("own")), "cells")
+    under = own.select("group", (F.col("size") + 1).alias("size"), F.col("own").alias("under"))
+    found = sized.join(small_side(own, broadcast_rows), ["group", "size"]).join(small_side(under, broadcast_rows), ["group", "size"], "left")
+    return found.withColumn("cells", F.array_compact(F.array("own", "under"))).drop("own", "under", "size")
+
+
 def drop_near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = 100_000) -> DataFrame:
-    """docs without the rows that near_duplicates() doesn't keep; all columns pass through."""
-    found = near_duplicates(docs, percent, text, doc_id, broadcast_rows, keys=True)
-    gone = cut(found.where("not kept").select("_k1", "_k2").distinct(), "gone")
-    side = F.broadcast(gone) if gone.limit(broadcast_rows + 1).count() <= broadcast_rows else gone.hint("merge")
-    mine = row_keys(F.col(doc_id), F.col(text), prefix="_near_k")
-    return docs.withColumns(mine).join(side, (F.col("_near_k1") == side["_k1"]) & (F.col("_near_k2") == side["_k2"]), "left_anti").drop(*mine)
+    """docs without the rows that near_duplicates() doesn't keep; all columns, of any name, pass through."""
+    with scratch() as keep:
+        found = near_duplicates(docs, percent, text, doc_id, broadcast_rows, keys=True)
+        gone = keep(cut(found.where("not kept").select("_k1", "_k2").distinct(), "gone"))
+    mine = row_keys(column(doc_id), column(text), names=tuple(unused(docs.columns, "k1", "k2")))
+    theirs = unused([*docs.columns, *mine], "gone1", "gone2")
+    gone = small_side(gone.toDF(*theirs), broadcast_rows)
+    same = [F.col(name) == F.col(other) for name, other in zip(mine, theirs, strict=True)]
+    return docs.withColumns(mine).join(gone, same[0] & same[1], "left_anti").drop(*mine)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = 100_000, keys: bool = False) -> DataFrame:
@@ -268,14 +296,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", doc_
        values has no partner. Of the others' values, in order of growing frequency, all but the last 29 form
        the prefix: two classes that agree in 30 must share one of those, so frequent values are seldom posted.
     3. Within a posting list collisions are counted over whole signatures; members already reached are skipped, and
-       each list gives at most one edge a member. Lists of over 4,000 go in blocks: the first meets each other, then
+       each list gives at most one edge a member. Lists of over 1,000 go in blocks: the first meets each other, then
        only members that this leaves apart meet all.
-    4. Each group that these edges connect is compared on full sets, again with skipping and in blocks (2,000
-       documents, 2 million shingles), which gives the links that count; their components are the result.
+    4. Each group that these edges connect is compared on full sets, in cells of similar set sizes (_cells()), again with
+       skipping and in blocks (500 documents, 2 million shingles), which gives the links that count; their components are the
+       result.
     """
-    keyed = docs.select(*(v.alias(k) for k, v in row_keys(F.col(doc_id), F.col(text)).items()), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    with scratch() as keep:
+        return _near_duplicates(docs, percent, text, doc_id, broadcast_rows, keys, keep)
+
+
+def _near_duplicates(docs: DataFrame, percent: int, text: str, doc_id: str, broadcast_rows: int, keys: bool, keep: Callable) -> DataFrame:
+    docs = spread(docs.select(column(doc_id).alias("doc_id"), column(text).alias("text")))
+    keyed = docs.select(*(v.alias(k) for k, v in row_keys(F.col("doc_id"), F.col("text")).items()), "doc_id", "text")
     id_type = keyed.schema["doc_id"].dataType.simpleString()
-    signed = cut(keyed.transform(map_batches, _signed, f"_k1 long, _k2 long, doc_id {id_type}, n long, class binary, signature array<int>"), "signed")
+    signed = keep(cut(keyed.transform(map_batches, _signed, f"_k1 long, _k2 long, doc_id {id_type}, n long, class binary, signature array<int>"), "signed"))
     classes = cut(
         signed.where("class is not null").groupBy("class")
         .agg(F.min("doc_id").alias("rep"), F.min(F.struct("_k1", "_k2")).alias("row"), F.first("n").alias("n"), F.first("signature").alias("signature")),
@@ -291,19 +326,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", doc_
     prefix = cut(prefix.select("class", F.col("t.token").alias("token")), "prefix")
     lists = prefix.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token", F.ceil(F.col("m") / BLOCK_POSTINGS).cast("int").alias("blocks"))
     members = prefix.join(lists, "token").join(classes.select("class", "signature"), "class")
-    loose = cut(_link_groups(members, "token", "signature", match_links, near_signatures), "loose")
-
-    grouped = loose.select(F.col("node").alias("class"), F.col("root").alias("group")).join(classes.select("class", "n", "row", "rep"), "class")
-    sizes = grouped.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    wanted = cut(grouped.select("class", "group", F.col("row._k1").alias("_k1"), F.col("row._k2").alias("_k2")), "wanted")
-    side = F.broadcast(wanted) if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows else wanted.hint("merge")
-    texts = keyed.select("_k1", "_k2", "text").join(side, ["_k1", "_k2"]).select("class", "group", "text")
-    sets = cut(texts.transform(map_batches, _with_sets, "class binary, group binary, shingles array<long>"), "sets")
-    linked = _link_groups(sets.join(sizes, "group"), "group", "shingles", lambda x: set_links(x, percent), lambda x, y: near_sets(x, y, percent))
-    ends = cut(linked, "components").select(F.col("node").alias("class"), "root")
+    with scratch() as keep_links:
+        loose = keep_links(cut(_link_groups(members, "token", "signature", match_links, near_signatures, broadcast_rows), "loose"))
+
+    grouped = cut(loose.select(F.col("node").alias("class"), F.col("root").alias("group")).join(classes.select("class", "n", "row", "rep"), "class"), "grouped")
+    wanted = cut(_cells(grouped, percent, broadcast_rows).select("class", "cells", F.col("row._k1").alias("_k1"), F.col("row._k2").alias("_k2")), "wanted")
+    texts = keyed.select("_k1", "_k2", "text").join(small_side(wanted, broadcast_rows), ["_k1", "_k2"]).select("class", "cells", "text")
+    sets = cut(texts.transform(map_batches, _with_sets, "class binary, cells array<struct<group:long,blocks:int>>, shingles array<long>"), "sets")
+    dealt = sets.select("class", "shingles", F.explode("cells").alias("cell")).select("class", "shingles", "cell.*")
+    with scratch() as keep_links:
+        linked = _link_groups(dealt, "group", "shingles", lambda x: set_links(x, percent), lambda x, y: near_sets(x, y, percent), broadcast_rows)
+        ends = keep_links(cut(linked, "components")).select(F.col("node").alias("class"), "root")
     smallest = ends.join(classes.select("class", "rep"), "class").groupBy("root").agg(F.min("rep").alias("component"))
     named = classes.select("class", "rep").join(ends.join(smallest, "root").select("class", "component"), "class", "left")
-    named = cut(named.select("class", F.coalesce("component", "rep").alias("component")), "named")  # then a hot class can be split
+    named = keep(cut(named.select("class", F.coalesce("component", "rep").alias("component")), "named"))  # then a hot class can be split
     found = signed.select("_k1", "_k2", "doc_id", F.col("n").alias("n_shingles"), "class").join(named, "class", "left")
     own = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return found.select(*(["_k1", "_k2"] if keys else []), "doc_id", "n_shingles", own.alias("component_id"), F.expr("doc_id <=> if(class is null, doc_id, component)").alias("kept"))

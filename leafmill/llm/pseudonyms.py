@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.tables import column, spread, unused
+
 ROUNDS = 8
 
 #: Patterns by kind, in order of precedence; a match that its kind's check rejects stays as it is.
@@ -177,12 +179,14 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", into: str = "pse
     are replaced under a keyed permutation of their own format: separators, lengths, check digits and validity stay, and
     one value has one pseudonym in every document, whatever its separators. A value may now and then be its own
     image, as in any permutation. What fails its check stays. Null texts give null; empty, long and repeated
-    ones are ordinary; other columns pass through, one named `into` is replaced.
+    ones are ordinary; other columns, of any name, pass through, one named `into` is replaced.
 
-    A projection without shuffle or Python. Texts without a digit or @ skip the patterns; the work for a match is
+    A projection without Python, and without a shuffle unless the table is very small (tables.spread()). Texts without a digit or @ skip the patterns; the work for a match is
     an expression over a few dozen characters."""
-    body = F.when(F.col(text).rlike("[0-9@]"), F.col(text))
-    split = docs.drop(into).withColumn("_pii_match", F.regexp_extract_all(body, F.lit(ANY), F.lit(0))).withColumn("_pii_gap", F.when(F.size("_pii_match") > 0, F.split(F.col(text), ANY, -1)))
+    docs, given = docs.drop(into), column(text)
+    match_at, gap_at, new_at = unused([*docs.columns, into], "match", "gap", "new")
+    body = F.when(given.rlike("[0-9@]"), given)
+    split = spread(docs).withColumn(match_at, F.regexp_extract_all(body, F.lit(ANY), F.lit(0))).withColumn(gap_at, F.when(F.size(match_at) > 0, F.split(given, ANY, -1)))
 
     def changed(match: Column) -> Column:
         def of(kind: Column) -> Column:
@@ -194,10 +198,10 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", into: str = "pse
 
         return bind(kind_of(match), of)
 
-    new = split.withColumn("_pii_new", F.when(F.size("_pii_match") > 0, F.transform("_pii_match", changed)))
-    joined = F.array_join(F.flatten(F.zip_with("_pii_gap", F.concat(F.transform("_pii_new", lambda x: x.text), F.array(F.lit(""))), lambda g, m: F.array(g, m))), "")
-    moved = F.filter(F.zip_with("_pii_match", "_pii_new", lambda m, x: F.when(m != x.text, x.kind)), lambda k: k.isNotNull())
+    new = split.withColumn(new_at, F.when(F.size(match_at) > 0, F.transform(match_at, changed)))
+    joined = F.array_join(F.flatten(F.zip_with(gap_at, F.concat(F.transform(new_at, lambda x: x.text), F.array(F.lit(""))), lambda g, m: F.array(g, m))), "")
+    moved = F.filter(F.zip_with(match_at, new_at, lambda m, x: F.when(m != x.text, x.kind)), lambda k: k.isNotNull())
     kinds = F.array(*map(F.lit, PATTERNS))
     found = bind(F.coalesce(moved, F.array().cast("array<string>")), lambda own: F.transform(kinds, lambda k: F.struct(k.alias("kind"), F.size(F.filter(own, lambda x: x == k)).cast("long").alias("n"))))
-    out = F.struct(F.coalesce(joined, F.col(text)).alias("text"), found.alias("found"))
-    return new.withColumn(into, out).drop("_pii_match", "_pii_gap", "_pii_new")
+    out = F.struct(F.coalesce(joined, given).alias("text"), found.alias("found"))
+    return new.withColumn(into, out).drop(match_at, gap_at, new_at)

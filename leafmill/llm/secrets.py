@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.tables import cut, map_batches, row_keys
+from leafmill.llm.tables import column, cut, map_batches, row_keys, scratch, spread
 
 #: Base kinds in their fixed order; (pattern, group that holds the value, least length of it).
 BASE = {
@@ -49,10 +50,12 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 def candidates(text: str, taken: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
     """Strings with digits and letters of both cases and of high entropy that touch no base span. Of a dotted string that
     isn't one the parts of 20 characters or more are tried."""
+    starts, ends = sorted(s for _, s, _, _ in taken), sorted(e for _, _, e, _ in taken)
 
     def fits(m: re.Match) -> bool:
         x = m[0]
-        return any(c.isdigit() for c in x) and any(c.islower() for c in x) and any(c.isupper() for c in x) and looks_random(x, 3.5) and not any(m.start() < e and s < m.end() for _, s, e, _ in taken)
+        untouched = bisect_left(starts, m.end()) == bisect_right(ends, m.start())  # all that begin before its end also end before its start
+        return untouched and any(c.isdigit() for c in x) and any(c.islower() for c in x) and any(c.isupper() for c in x) and looks_random(x, 3.5)
 
     found = []
     for m in RANDOM.finditer(text):
@@ -79,23 +82,24 @@ def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", re
     verdict is live. The verdict of a value comes from the whole corpus: `example` if its hash occurs under
     `example_owners` distinct owners or more, or under several owners in `example_repositories` distinct repositories or
     more, else `live` if it looks random, else `weak`. What one owner has stays that owner's, however many copies there
-    are. Null owners and repositories count as none. A null text is empty; a repeated row gets the same spans each time and its repository counts once. Extra columns aren't read; values leave only as hashes.
+    are. Null owners and repositories count as none. A null text is empty; a repeated row gets the same spans each time and its
+    repository counts once. Extra columns aren't read; values leave only as hashes.
 
     Texts are read once; what is found (few rows) is written, counted by value with partial aggregation over distinct
     (value, owner, repository), and joined back by value, where hot examples split at run time."""
-    key = row_keys(F.col(doc_id), F.col(text))
-    columns = [F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner")]
-    scanned = docs.select(*(v.alias(k) for k, v in key.items()), *columns)
+    key = row_keys(column(doc_id), column(text))
+    columns = [column(doc_id).alias("doc_id"), column(text).alias("text"), column(repository).cast("string").alias("repository"), column(owner).cast("string").alias("owner")]
+    scanned = spread(docs.select(*dict.fromkeys((doc_id, text, repository, owner)))).select(*(v.alias(k) for k, v in key.items()), *columns)
     id_type = scanned.schema["doc_id"].dataType.simpleString()
     scanned = cut(scanned.transform(map_batches, _scan, f"_k1 long, _k2 long, doc_id {id_type}, {SCANNED}, repository string, owner string"), "secrets")
     each = scanned.select("_k1", "_k2", "repository", "owner", F.explode("spans").alias("s"))
-    spread = each.groupBy(F.col("s.value").alias("value")).agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"))
+    counted = each.groupBy(F.col("s.value").alias("value")).agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"))
     verdict = (
         F.when((F.col("owners") >= example_owners) | ((F.col("owners") > 1) & (F.col("repositories") >= example_repositories)), "example").when(F.col("s.random"), "live").otherwise("weak")
     )
     rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("s.kind"))
     judged = (
-        each.select("_k1", "_k2", "s", F.col("s.value").alias("value")).join(spread.hint("merge"), "value")
+        each.select("_k1", "_k2", "s", F.col("s.value").alias("value")).join(counted.hint("merge"), "value")
         .select("_k1", "_k2", F.struct(F.col("s.start").alias("start"), rank.alias("rank"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), "value", "owners", "repositories", verdict.alias("verdict")).alias("span"))
         .where((F.col("span.kind") != "owned") | (F.col("span.verdict") == "live"))
         .groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set("span")).alias("spans"))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from leafmill.llm import wordhash as W
 from leafmill.llm.lattice import Pieces, sample
-from leafmill.llm.tables import map_batches
+from leafmill.llm.tables import column, map_batches, spread, unused
 
 #: Weight of a byte piece against the pieces' 1 / (rank + FLAT).
 BYTE_CHANCE, FLAT = 1e-9, 30.0
@@ -105,12 +105,12 @@ def encode(docs: DataFrame, model: str | None = None, seed: int = 0, theta: floa
     spark, docs = docs.sparkSession, docs.drop(into)
     coder = spark.sparkContext.broadcast(Coder(Pieces.load(model or default_model()), theta))
     kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
-    seeded = docs.withColumn("_seed", row_seed(seed, *key))
+    seeded = spread(docs).select("*", row_seed(seed, *key).alias(*unused(docs.columns, "seed")))
     return seeded.transform(map_batches, _encoder(coder, into, text), T.StructType([*docs.schema.fields, T.StructField(into, kind)]))
 
 
 def row_seed(seed: int, *key: str) -> Column:
-    return F.xxhash64(F.lit(seed), *(F.col(k) for k in key))
+    return F.xxhash64(F.lit(seed), *map(column, key))
 
 
 def decode(encoded: DataFrame, model: str | None = None, ids: str = "ids", into: str = "text") -> DataFrame:

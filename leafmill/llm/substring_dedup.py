@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import wordhash as W
-from leafmill.llm.tables import cut, map_batches, row_keys
+from leafmill.llm.tables import column, cut, map_batches, row_keys, scratch, spread
 
 #: Words of the n-gram that routes a passage to its shard.
 ANCHOR = 6
@@ -289,7 +289,13 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", doc_id
        start earlier; what is new is added to it. Anchors with more than `hot` passages are split by window: a partial
        aggregation of 128-bit window hashes gives the earliest place, and a join compares all others with it.
     """
-    keyed = docs.select(*(v.alias(k) for k, v in row_keys(F.col(doc_id), F.col(text)).items()), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    with scratch() as keep:
+        return _remove_repeats(docs, window, text, doc_id, hot, keep)
+
+
+def _remove_repeats(docs: DataFrame, window: int, text: str, doc_id: str, hot: int, keep: Callable) -> DataFrame:
+    keys = row_keys(column(doc_id), column(text))
+    keyed = spread(docs.select(*(v.alias(k) for k, v in keys.items()), column(doc_id).cast("long").alias("doc_id"), column(text).alias("text")))
     schema = "_k1 long, _k2 long, doc_id long, n long, class binary, local array<long>, gram array<long>, at array<long>"
     anchored = cut(keyed.transform(map_batches, _anchors(window), schema), "anchors")
     classes = cut(anchored.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "_k1", "_k2")).alias("head")), "classes")
@@ -315,11 +321,12 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", doc_id
     split = single.join(earliest, ["gram", "check"]).where("place <> earliest").select("place._k1", "place._k2", F.col("place.first").alias("first"), F.col("place.first").alias("last"))
     spans = cut(streamed.union(split).groupBy("_k1", "_k2").agg(F.flatten(F.collect_set(F.array("first", "last"))).alias("starts")), "spans")
 
-    fate = (
+    fate = keep(cut(
         anchored.select("_k1", "_k2", "doc_id", "class", "local").dropDuplicates(["_k1", "_k2"]).join(classes, "class", "left").join(spans, ["_k1", "_k2"], "left")
         .select("_k1", "_k2", F.concat("local", F.coalesce("starts", F.array().cast("array<long>"))).alias("spans"),
                 (F.col("class").isNotNull() & ((F.col("head._k1") != F.col("_k1")) | (F.col("head._k2") != F.col("_k2")))).alias("whole"))
-        .where("whole or size(spans) > 0")
-    )
+        .where("whole or size(spans) > 0"),
+        "fate",
+    ))
     told = keyed.join(fate, ["_k1", "_k2"], "left").select(*KEYED, "spans", "whole")
     return told.transform(map_batches, _kept(window), "doc_id long, n_words long, n_removed long, text string")
