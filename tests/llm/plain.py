@@ -16,7 +16,7 @@ def sha(text):
 def lines(docs, min_docs=10, min_chars=1):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(UP)
     split = [(i, (t or "").split("\n")) for i, t in docs]
-    seen = Counter(k for _, ls in split for k in {key(x) for x in ls} if len(k) >= min_chars)
+    seen = Counter(k for _, k in {(("row", at) if i is None else ("id", i), key(x)) for at, (i, ls) in enumerate(split) for x in ls} if len(k) >= min_chars)
     out = []
     for i, ls in split:
         kept = [x for x in ls if not (len(key(x)) >= min_chars and seen[key(x)] >= min_docs)]
@@ -68,7 +68,7 @@ def contamination(docs, items, window=10):
         w = ALNUM.findall((text or "").translate(UP))
         size = min(window, len(w))
         for k in range(len(w) - size + 1 if size else 0):
-            grams[tuple(w[k : k + size])].add(str(item))
+            grams[tuple(w[k : k + size])].add(item if item is None else str(item))
     out = []
     for i, text in docs:
         w, hit, found = ALNUM.findall((text or "").translate(UP)), set(), set()
@@ -77,7 +77,7 @@ def contamination(docs, items, window=10):
                 if names := grams.get(tuple(w[k : k + size])):
                     hit |= set(range(k, k + size))
                     found |= names
-        out.append((i, len(w), len(hit), sorted(found)))
+        out.append((i, len(w), len(hit), sorted(found - {None}) + [None] * (None in found)))
     return out
 
 

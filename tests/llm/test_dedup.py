@@ -73,15 +73,29 @@ def test_index_over_several_batches(spark):
 # --- line dedup ---
 
 
-@pytest.mark.parametrize("broadcast_keys", [0, 200_000])
-def test_line_dedup(spark, small, broadcast_keys):
-    found = line_dedup.dedup_lines(frame(spark, small), 3, broadcast_keys=broadcast_keys).select("doc_id", "line_dedup.*")
+@pytest.mark.parametrize("inline_keys", [0, 50_000])
+def test_line_dedup(spark, small, inline_keys):
+    found = line_dedup.dedup_lines(frame(spark, small), 3, inline_keys=inline_keys).select("doc_id", "line_dedup.*")
     assert in_order(found.collect()) == in_order(plain.lines(small, 3))
 
 
+@pytest.mark.parametrize("inline_keys", [0, 50_000])
+def test_a_document_counts_once(spark, inline_keys):
+    docs = [(1, "twice\nthree times")] * 5 + [(1, "other text of it\ntwice"), (2, "three times\ntwice"), (3, "three times"), (None, "nobody's"), (None, "nobody's"), (None, "nobody's")]
+    found = line_dedup.dedup_lines(frame(spark, docs), 3, inline_keys=inline_keys).select("doc_id", "line_dedup.*").collect()
+    assert in_order(found) == in_order(plain.lines(docs, 3))
+    assert in_order(found) == in_order([(1, 2, 1, "twice")] * 5 + [(1, 2, 0, docs[5][1]), (2, 2, 1, "twice"), (3, 1, 1, "")] + [(None, 1, 1, "")] * 3)
+
+
+def test_texts_are_not_shuffled(spark):
+    docs = frame(spark, [(i, "a line\nother") for i in range(20)])
+    assert "Join" not in line_dedup.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("inline_keys", [0, 50_000])
 @pytest.mark.parametrize("min_chars", [0, 1, 4])
-def test_line_dedup_of_awkward_rows(awkward, min_chars):
-    found = line_dedup.dedup_lines(awkward, 2, min_chars)
+def test_line_dedup_of_awkward_rows(awkward, min_chars, inline_keys):
+    found = line_dedup.dedup_lines(awkward, 2, min_chars, inline_keys=inline_keys)
     assert found.columns == [*awkward.columns, "line_dedup"]
     assert in_order(found.select("doc_id", "line_dedup.*").collect()) == in_order(plain.lines(AWKWARD, 2, min_chars))
 
