@@ -30,13 +30,24 @@ def contaminated(spark, docs, items, **options):
 
 @pytest.mark.parametrize("block_windows", [1, 200_000])
 def test_decontamination(spark, block_windows):
-    docs = [(1, "ONE two, three four five six seven eight nine ten eleven"), (2, "a short, ITEM here short-item"), (3, "two three four five six seven eight nine ten"), (4, None), (5, "日本語 text"), (6, "two three four five six seven eight nine ten eleven twelve")]
+    docs = [(1, "ONE two, three four five six seven eight nine ten eleven"), (2, "a short, ITEM here short-item"), (3, "two three four five six seven eight nine ten"), (4, None), (5, "日本語 text. No id at all"), (7, "no ID at all, short item"), (6, "two three four five six seven eight nine ten eleven twelve")]
     found, rows = contaminated(spark, frame(spark, docs), ITEMS, block_windows=block_windows)
-    assert found == sorted(plain.contamination(docs, [x for x in ITEMS if x[0] is not None]), key=repr)
+    assert found == sorted(plain.contamination(docs, ITEMS), key=repr)
     texts = {r.doc_id: r.found.text for r in rows}
     assert texts[2] == "a  here " and texts[3] == docs[2][1] and texts[4] == "" and texts[6] == " twelve"
 
 
+def test_shared_and_long_windows(spark):
+    """One window of many items; words so long that their windows are compared by digest."""
+    huge = "h" * 5000
+    items = [(i, "the same short item") for i in range(300)] + [(None, "the same short item"), (1000, f"{huge} a b"), (1001, f"{huge}x a b")]
+    docs = [(1, "x the same short item"), (2, f"see {huge} a b"), (3, f"{huge} a c")]
+    for block_windows in (7, 200_000):
+        found, _ = contaminated(spark, frame(spark, docs), items, block_windows=block_windows)
+        assert found == plain.contamination(docs, items)
+    assert found[0][2:] == (4, [*sorted(str(i) for i in range(300)), None]) and found[1][2:] == (3, ["1000"]) and found[2][2] == 0
+
+
 def test_decontamination_of_documents(spark, documents, small, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     pairs = [(r.item_id, r.text) for r in items.collect()]
