@@ -62,8 +62,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def quoting_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages of `conversations`, which quote nobody, with quotes put in by their numbers: of the message two turns before, of
+    that one nested in the one three turns before, or of the first message of the conversation before."""
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turn, texts = F.col("turn"), talks.groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
+    quoted = lambda text, marks: F.concat(F.regexp_replace(text, "(?m)^", marks), F.lit("\n"))
+
+    def said(name: str, conv: Column, at: Column) -> DataFrame:
+        return texts.select(conv.alias("conv_id"), at.alias("turn"), F.col("said").alias(name))
+
+    near, far = said("near", F.col("conv_id"), turn + 2), said("far", F.col("conv_id"), turn + 3)
+    other = texts.where("turn = 0").select((F.col("conv_id") + 1).alias("conv_id"), F.lit(4).cast(talks.schema["turn"].dataType).alias("turn"), F.col("said").alias("other"))
+    both = talks.join(near, ["conv_id", "turn"], "left").join(far, ["conv_id", "turn"], "left").join(other, ["conv_id", "turn"], "left")
+    head = F.when((turn % 5 == 3) & F.col("far").isNotNull(), F.concat(quoted(F.col("far"), "> > "), F.lit("> so it was\n"), quoted(F.col("near"), "> ")))
+    head = head.when(turn % 3 == 2, F.concat(F.lit("On Monday they wrote:\n"), quoted(F.col("near"), ">"))).when(turn == 4, quoted(F.col("other"), "> "))
+    return both.select("conv_id", "turn", "role", F.concat(F.coalesce(head, F.lit("")), "text").alias("text"))
+
+
 def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotations.reply_ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return quotations.reply_ordered(quoting_conversations(spark, sf_dir))
 
 
 def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
-from leafmill.llm.tables import cut, map_batches, row_keys
+from leafmill.llm.tables import column, cut, map_batches, row_keys, scratch, spread
 
 QUOTED = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)(.*)", re.S)
 ATTRIBUTION = re.compile(r"(?:On|Am|Le|El)\b.{0,200}\b(?:wrote|schrieb|a écrit|escribió)\b.{0,80}:\s*")
@@ -79,17 +79,19 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def latest(rows: DataFrame, keys: list[str], counts: Column, into: str, inclusive: bool = False) -> DataFrame:
-    """Adds the largest turn below the row's own (or up to it) among rows with the same keys for which `counts` holds.
+    """(keys, turn, into) for each turn of rows with the same keys: the largest turn below it (or up to it) of a row for which `counts`
+    holds. Rows with null keys or turns are left out.
 
-    Windows go over buckets of BUCKET turns, and a second one over buckets; so a key with very many turns is many
-    small groups. The keys aren't null."""
-    rows = rows.withColumn("_counts", F.when(counts, F.col("turn"))).withColumn("_bucket", F.floor(F.col("turn") / BUCKET))
-    near = Win.partitionBy(*keys, "_bucket").orderBy("turn").rangeBetween(Win.unboundedPreceding, Win.currentRow if inclusive else -1)
-    far = Win.partitionBy(*keys).orderBy("_bucket").rowsBetween(Win.unboundedPreceding, -1)
-    tops = rows.groupBy(*keys, "_bucket").agg(F.max("_counts").alias("_top"))
-    tops = tops.withColumn("_before", F.max("_top").over(far)).where("_before is not null").drop("_top")
-    out = rows.withColumn("_near", F.max("_counts").over(near)).join(tops, [*keys, "_bucket"], "left")
-    return out.withColumn(into, F.coalesce("_near", "_before")).drop("_counts", "_bucket", "_near", "_before")
+    Turns are made distinct first, so many rows of one turn are one; windows go over buckets of BUCKET turns, and
+    a second one over buckets. So no group is larger than that, but for the buckets of one key."""
+    turns = rows.where(" and ".join(f"{k} is not null" for k in [*keys, "turn"])).groupBy(*keys, "turn").agg(F.max(F.when(counts, F.col("turn"))).alias("counted"))
+    turns = turns.withColumn("bucket", F.floor(F.col("turn") / BUCKET))
+    near = Win.partitionBy(*keys, "bucket").orderBy("turn").rowsBetween(Win.unboundedPreceding, Win.currentRow if inclusive else -1)
+    far = Win.partitionBy(*keys).orderBy("bucket").rowsBetween(Win.unboundedPreceding, -1)
+    tops = turns.groupBy(*keys, "bucket").agg(F.max("counted").alias("top"))
+    tops = tops.withColumn("before", F.max("top").over(far)).where("before is not null").drop("top")
+    found = turns.withColumn("near", F.max("counted").over(near)).join(tops, [*keys, "bucket"], "left")
+    return found.select(*keys, "turn", F.coalesce("near", "before").alias(into))
 
 
 def links(parsed: DataFrame) -> DataFrame:
@@ -108,7 +110,7 @@ def links(parsed: DataFrame) -> DataFrame:
     units = parsed.where("conv is not null and turn is not null").select("conv", "turn", F.explode("units").alias("hash"))
     units = cut(units.join(probes.select("hash").distinct(), "hash", "left_semi"), "units")
     both = probes.withColumn("unit", F.lit(False)).unionByName(units.withColumn("unit", F.lit(True)), allowMissingColumns=True)
-    within = latest(both, ["conv", "hash"], F.col("unit"), "source").where("not unit and source is not null")
+    within = probes.join(latest(both, ["conv", "hash"], F.col("unit"), "source").where("source is not null"), ["conv", "hash", "turn"])
     ranked = within.groupBy("conv", "turn", "row", "passage", "source").agg(F.sum("weight").alias("weight"))
     best = ranked.groupBy("conv", "turn", "row", "passage").agg(F.max(F.struct("weight", "source")).alias("best"))
     first = units.groupBy("hash").agg(F.min(F.struct("conv", "turn")).alias("first"))
@@ -123,27 +125,35 @@ def links(parsed: DataFrame) -> DataFrame:
     )
 
 
-def branch_keys(jumps: DataFrame) -> DataFrame:
-    """(conv, head, key) from jumps (conv, head, from_turn, parent): a branch begins at the message `head`, answers the
-    message `from_turn`, and hangs on the branch `parent` (null: the first). Keys in ascending order are the branches in reply
-    order: whatever hangs on a branch comes behind it, later answered messages first. Keys double each round."""
-    step = F.array(-F.col("from_turn"), F.col("head"))
-    keys = cut(jumps.select("conv", "head", "parent", step.alias("key")), "branches")
-    while not keys.where("parent is not null").isEmpty():
-        above = keys.select("conv", F.col("head").alias("parent"), F.col("key").alias("_key"), F.col("parent").alias("_parent"))
-        joined = keys.join(above, ["conv", "parent"], "left")
-        keys = cut(joined.select("conv", "head", F.col("_parent").alias("parent"), F.when(F.col("_key").isNull(), F.col("key")).otherwise(F.concat("_key", "key")).alias("key")), "branches")
-    return keys.select("conv", "head", "key")
+def branch_ranks(jumps: DataFrame) -> DataFrame:
+    """(conv, head, rank) from jumps (conv, head, from_turn, parent): a branch begins at the message `head`, answers the
+    message `from_turn`, and hangs on the branch `parent` (null: the first). Ranks count the branches of a conversation from 1 in
+    reply order: whatever hangs on a branch comes behind it, later answered messages first.
+
+    A tour goes down into each branch and up out of it. Each of the two places knows the place before it on the tour; places
+    then skip along these, twice as far in each round, and add up the ways down. So a row has a fixed size, and rounds
+    grow with the logarithm of a conversation's branches, whatever their depth."""
+    order = Win.partitionBy("conv", "parent").orderBy(F.desc("from_turn"), "head")
+    last = jumps.where("parent is not null").groupBy("conv", F.col("parent").alias("head")).agg(F.max_by("head", F.struct(-F.col("from_turn"), "head")).alias("last"))
+    both = jumps.select("conv", "head", "parent", F.lag("head").over(order).alias("sibling")).join(last, ["conv", "head"], "left")
+    down = both.select("conv", "head", F.lit(False).alias("up"), F.coalesce("sibling", "parent").alias("before"), F.col("sibling").isNotNull().alias("before_up"), F.lit(1).cast("long").alias("rank"))
+    up = both.select("conv", "head", F.lit(True).alias("up"), F.coalesce("last", "head").alias("before"), F.col("last").isNotNull().alias("before_up"), F.lit(0).cast("long").alias("rank"))
+    places = cut(down.union(up), "places")
+    while not places.where("before is not null").isEmpty():
+        skipped = places.select("conv", F.col("head").alias("before"), F.col("up").alias("before_up"), F.col("before").alias("further"), F.col("before_up").alias("further_up"), F.col("rank").alias("more"))
+        joined = places.join(skipped, ["conv", "before", "before_up"], "left")
+        places = cut(joined.select("conv", "head", "up", F.col("further").alias("before"), F.col("further_up").alias("before_up"), (F.col("rank") + F.coalesce("more", F.lit(0))).alias("rank")), "places")
+    return places.where("not up").select("conv", "head", "rank")
 
 
 def reply_ordered(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Conversations without quotes: conv_id, branch, branch_key, part, slice, n_quotes, n_linked, messages (turn, role,
+    """Conversations without quotes: conv_id, branch, branch_rank, part, slice, n_quotes, n_linked, messages (turn, role,
     reply_to, text, sources), a row for each branch and 4,096 turns of it. Where one turn has more messages than that
     they are dealt to slices, else slice is 0.
 
     A message answers the source of its least nested quote that was found in its conversation (of several the
     latest), else the message before it. It opens a branch if it answers another than the one before; other messages
-    go on with their branch. Branches in order of branch_key, parts, and messages in order of turn are the
+    go on with their branch. Branches in order of branch_rank (the first has 0), parts, and messages in order of turn are the
     conversation in reply order (depth first). Quote marks are `>` behind at most three blanks; quoted lines and
     attributions above them leave the text.
 
@@ -151,7 +161,13 @@ def reply_ordered(messages: DataFrame, conv: str = "conv_id", turn: str = "turn"
     role and text and answer alike. Messages with a null conversation or turn stand alone, in a row each, without links. A
     null text is empty. Extra columns aren't read. A conversation or a passage with very many messages is dealt in buckets
     of turns, never gathered whole."""
-    rows = messages.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).withColumns(row_keys(F.col("conv"), F.col("turn"), F.col("role"), F.col("text")))
+    with scratch() as keep:
+        return keep(_reply_ordered(messages, conv, turn, role, text))
+
+
+def _reply_ordered(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    given = messages.select(column(conv).alias("conv"), column(turn).cast("long").alias("turn"), column(role).alias("role"), column(text).alias("text"))
+    rows = spread(given).withColumns(row_keys(F.col("conv"), F.col("turn"), F.col("role"), F.col("text")))
     conv_type = rows.schema["conv"].dataType.simpleString()
     given = rows.select("conv", "turn", "role", F.concat_ws(":", "_k1", "_k2").alias("row"), "text")
     schema = f"conv {conv_type}, turn long, role string, row string, {PARSED}"
@@ -160,12 +176,11 @@ def reply_ordered(messages: DataFrame, conv: str = "conv_id", turn: str = "turn"
 
     inside = linked.where("source_conv = conv").groupBy("conv", "turn").agg(F.max(F.struct(-F.col("level"), F.col("source_turn").alias("answers"))).answers.alias("answers"))
     turns = parsed.where("conv is not null and turn is not null").select("conv", "turn").distinct()
-    turns = latest(turns, ["conv"], F.lit(True), "before").join(inside, ["conv", "turn"], "left")
-    turns = turns.withColumn("jump", F.coalesce(F.col("answers") != F.col("before"), F.lit(False)))
-    turns = cut(latest(turns, ["conv"], F.col("jump"), "head", inclusive=True), "turns")
+    turns = cut(latest(turns, ["conv"], F.lit(True), "before").join(inside, ["conv", "turn"], "left").withColumn("jump", F.coalesce(F.col("answers") != F.col("before"), F.lit(False))), "turns")
+    turns = cut(turns.join(latest(turns, ["conv"], F.col("jump"), "head", inclusive=True), ["conv", "turn"]), "heads")
     jumps = turns.where("jump").select("conv", F.col("turn").alias("head"), F.col("answers").alias("from_turn"))
     heads = turns.select("conv", F.col("turn").alias("from_turn"), F.col("head").alias("parent"))
-    keys = branch_keys(jumps.join(heads, ["conv", "from_turn"]))
+    ranks = branch_ranks(jumps.join(heads, ["conv", "from_turn"]))
 
     quotes = linked.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("passage", "level", F.col("source_conv").alias("conv"), F.col("source_turn").alias("turn")))).alias("sources"))
     placed = parsed.select("conv", "turn", "role", "row", "own").distinct().join(turns.select("conv", "turn", "head", F.coalesce("answers", "before").alias("reply_to")), ["conv", "turn"], "left")
@@ -178,9 +193,9 @@ def reply_ordered(messages: DataFrame, conv: str = "conv_id", turn: str = "turn"
     alone = F.when(F.col("conv").isNull() | F.col("turn").isNull(), F.col("row"))
     message = F.struct("turn", "role", F.col("own").alias("text"), "reply_to", "sources")
     grouped = placed.groupBy("conv", "head", F.floor(F.col("turn") / BUCKET).alias("part"), slices.alias("slice"), alone.alias("_alone")).agg(F.array_sort(F.collect_list(message)).alias("messages"))
-    found = grouped.join(keys, ["conv", "head"], "left")
+    found = grouped.join(ranks, ["conv", "head"], "left")
     quoted = F.flatten(F.transform("messages", lambda m: m.sources))
-    return found.select(
-        F.col("conv").alias("conv_id"), F.col("head").alias("branch"), F.coalesce("key", F.array().cast("array<bigint>")).alias("branch_key"), "part", "slice",
+    return cut(found.select(
+        F.col("conv").alias("conv_id"), F.col("head").alias("branch"), F.coalesce("rank", F.lit(0)).alias("branch_rank"), "part", "slice",
         F.size(quoted).cast("long").alias("n_quotes"), F.size(F.filter(quoted, lambda q: q.turn.isNotNull())).cast("long").alias("n_linked"), "messages",
-    )
+    ), "conversations")

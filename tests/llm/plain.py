@@ -102,3 +102,77 @@ def secrets(text):
     for kind, pattern, group, least in zip(kinds, patterns, (2, 0, 0), (6, 20, 24), strict=True):
         found += [(m.start(), kinds.index(kind), f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text or "") if len(m[group]) >= least]
     return [x for _, _, x in sorted(found)]
+
+
+def _parsed(text):
+    """(own text, units, quoted passages as (level, lines))."""
+    marked = []
+    for line in (text or "").split("\n"):
+        m = re.match(r"[ \t]{0,3}>", line)
+        level, rest = 0, line
+        if m:
+            rest = line.lstrip(" \t")
+            while rest.startswith(">"):
+                level, rest = level + 1, rest[1:]
+                if rest[:1] in (" ", "\t"):
+                    rest = rest[1:]
+        marked.append([level, rest])
+    for i, (level, line) in enumerate(marked):
+        told = re.fullmatch(r"(On|Am|Le|El)\b.{0,200}\b(wrote|schrieb|a écrit|escribió)\b.{0,80}:\s*", line.strip())
+        rest = [x for x in marked[i + 1 :] if x[0] != 0 or x[1].strip()]
+        if level == 0 and told and rest and rest[0][0] > 0:
+            marked[i][0] = -1
+    passages = []
+    for i, (level, line) in enumerate(marked):
+        if level > 0 and i and marked[i - 1][0] == level:
+            passages[-1][1].append(line)
+        elif level > 0:
+            passages.append((level, [line]))
+    own = "\n".join(x for level, x in marked if level == 0).strip("\n") if passages else text or ""
+    units = {squeeze(own), *(squeeze(x) for x in re.split(r"\n[ \t]*\n", own)), *(squeeze(x) for x in own.split("\n"))}
+    return own, units - {""}, [(level, lines) for level, lines in passages if squeeze("\n".join(lines))]
+
+
+def squeeze(text):
+    return " ".join(WORD.findall(text)).translate(UP)
+
+
+def replies(rows):
+    """{(conv, turn, role, text): (own text, reply_to, sources, branch, place in reply order)} for rows with distinct (conv, turn)
+    and no nulls; sources are (passage, level, conv, turn)."""
+    parsed = {(c, t): _parsed(text) for c, t, _, text in rows}
+    out = {}
+    for conv in {c for c, _ in parsed}:
+        turns, answers, sources = sorted(t for c, t in parsed if c == conv), {}, {}
+        for t in turns:
+            sources[t] = []
+            for number, (level, lines) in enumerate(parsed[conv, t][2]):
+                whole, weights = squeeze("\n".join(lines)), Counter()
+                for key, weight in [(whole, 1 + sum(bool(squeeze(x)) for x in lines)), *((squeeze(x), 1) for x in lines if squeeze(x))]:
+                    earlier = [u for u in turns if u < t and key in parsed[conv, u][1]]
+                    if earlier:
+                        weights[max(earlier)] += weight
+                if weights:
+                    place = (conv, max(weights, key=lambda u: (weights[u], u)))
+                else:
+                    place = min((x for x in parsed if x[0] != conv and whole in parsed[x][1]), default=(None, None))
+                sources[t].append((number, level, *place))
+            linked = [(-level, u) for _, level, c, u in sources[t] if c == conv]
+            before = max((u for u in turns if u < t), default=None)
+            answers[t] = max(linked)[1] if linked else before
+        branch, children = {}, defaultdict(list)
+        for k, t in enumerate(turns):
+            before = turns[k - 1] if k else None
+            branch[t] = branch.get(before) if answers[t] == before else t
+            if answers[t] != before:
+                children[answers[t]].append(t)
+        order, stack = [], [turns[0]]
+        while stack:  # a branch is walked to its end; then what hangs on it, later answered messages first
+            walk = [u for u in turns if u >= stack[-1] and branch[u] == branch[stack[-1]]]
+            stack.pop()
+            order += walk
+            stack += [h for u in walk for h in reversed(children[u])]
+        for c, t, role, text in rows:
+            if c == conv:
+                out[c, t, role, text] = (parsed[c, t][0], answers[t], sources[t], branch[t], order.index(t))
+    return out

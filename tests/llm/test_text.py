@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm import decontaminate, language_id, lattice, pseudonyms, quotations, secrets, sentencepiece_sampling
+from leafmill.llm import decontaminate, language_id, lattice, pseudonyms, queries, quotations, secrets, sentencepiece_sampling
 from leafmill.llm import wordhash as W
 from leafmill.llm.queries import QUERIES
 from tests.llm import plain
@@ -472,7 +472,7 @@ TALK = [
 
 def test_reply_order(spark):
     df = spark.createDataFrame(TALK, "conv_id long, turn long, role string, text string").withColumn("branch", F.lit(None).cast("int")).repartition(3)
-    rows = sorted(quotations.reply_ordered(df).collect(), key=lambda r: (r.conv_id is None, r.conv_id, r.part is None, r.branch_key))
+    rows = sorted(quotations.reply_ordered(df).collect(), key=lambda r: (r.conv_id is None, r.conv_id, r.part is None, r.branch_rank))
     found = [(r.conv_id, r.branch, [(m.turn, m.reply_to, m.text) for m in r.messages], r.n_quotes, r.n_linked) for r in rows]
     assert found == [
         (1, None, [(0, None, TALK[0][3]), (1, 0, TALK[1][3]), (2, 1, "ok good")], 0, 0),
@@ -516,7 +516,7 @@ def test_reply_order_is_depth_first(spark, monkeypatch, bucket):
             parents.setdefault(conv, {})[turn] = answers
     found = quotations.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     for conv, own in parents.items():
-        mine = sorted((x for x in found if x.conv_id == conv), key=lambda x: (x.branch_key, x.part))
+        mine = sorted((x for x in found if x.conv_id == conv), key=lambda x: (x.branch_rank, x.part))
         assert [m.turn for x in mine for m in x.messages] == depth_first(own)
         assert {m.turn: m.reply_to for x in mine for m in x.messages} == own
 
@@ -530,11 +530,32 @@ def test_many_messages_of_one_turn(spark, monkeypatch):
     assert [(m.reply_to, m.sources[0].turn) for r in found for m in r.messages if m.text == "last"] == [(0, 0)]
 
 
+def test_a_conversation_of_deep_branches(spark):
+    """Each message answers another than the one before, so branches hang on branches, 300 deep; and one message has 200 answers."""
+    rows = [(1, t, "user", (f"> unique words 1 {t - 2}\n" if t > 1 else "") + f"unique words 1 {t}") for t in range(300)]
+    rows += [(2, t, "user", ("> unique words 2 0\n" if t > 1 else "") + f"unique words 2 {t}") for t in range(200)]
+    found = quotations.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for conv in (1, 2):
+        mine = sorted((x for x in found if x.conv_id == conv), key=lambda x: (x.branch_rank, x.part))
+        parents = {t: (t - 2 if conv == 1 else 0) if t > 1 else t - 1 if t else None for t in range(300 if conv == 1 else 200)}
+        assert sorted({x.branch_rank for x in mine}) == list(range(len({x.branch for x in mine})))
+        assert {m.turn: m.reply_to for x in mine for m in x.messages} == parents
+        told = {t: (own, order) for (c, t, _, _), (own, _, _, _, order) in plain.replies(rows).items() if c == conv}
+        assert [m.turn for x in mine for m in x.messages] == sorted(told, key=lambda t: told[t][1])
+
+
 def test_quotes_of_conversations_and_nothing(spark, sf_dir):
-    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    rows = QUERIES["op1_quotation_linking"](spark, sf_dir).collect()
-    found = sorted((r.conv_id, m.turn, m.role, m.text) for r in rows for m in r.messages)
-    assert found == sorted(tuple(r) for r in talks.select("conv_id", "turn", "role", "text").collect())
+    """The whole query against the rules in plain Python."""
+    talks = queries.quoting_conversations(spark, sf_dir)
+    rows = [tuple(r) for r in talks.select("conv_id", "turn", "role", "text").collect()]
+    plain_rows = plain.replies(rows)
+    found = sorted(QUERIES["op1_quotation_linking"](spark, sf_dir).collect(), key=lambda r: (r.conv_id, r.branch_rank, r.part))
+    assert len(rows) == spark.read.parquet(f"{sf_dir}/conversations.parquet").count() == sum(len(r.messages) for r in found)
+    told = [(r.conv_id, m.turn, m.role, m.text, m.reply_to, [(s.passage, s.level, s.conv, s.turn) for s in m.sources], r.branch) for r in found for m in r.messages]
+    expected = [(c, t, role, own, answers, sources, None if branch is None else branch) for (c, t, role, _), (own, answers, sources, branch, order) in sorted(plain_rows.items(), key=lambda x: (x[0][0], x[1][4]))]
+    assert told == expected
+    sources = [s for *_, x, _ in told for s in x]
+    assert sum(s[3] is not None for s in sources) > 0.8 * len(sources) > 20 and any(s[2] != r[0] and s[2] is not None for r in told for s in r[5])
     assert quotations.reply_ordered(talks.limit(0)).count() == 0
 
 
