@@ -117,6 +117,20 @@ def test_secrets_of_documents(spark, documents, small, sf_dir):
         assert set(base) <= set(rows[i].spans.split(",")) | {""}
 
 
+def test_verdicts_of_documents(spark, documents, sf_dir):
+    """All spans and verdicts of the query, and of rows with keys that owners share or don't."""
+    rows = [(r.doc_id, r.text, r.source) for r in documents.select("doc_id", "text", "source").collect()]
+    found = {r.doc_id: (r.spans, r.n_live, r.n_example) for r in QUERIES["op3_secret_scan"](spark, sf_dir).collect()}
+    assert found == plain.spans_of_secrets(rows)
+    r = random.Random(3)
+    keys = ["".join(r.choices("abcdefghijkLMNOPQRSTUVWXYZ0123456789", k=n)) for n in (20, 24, 40, 300)]
+    made = [(i, " ".join(r.choice([f"token={k}", f"see {k}.", f"{k}.{keys[0]}", "plain words", f"api_key: '{k[:8]}'", f"Secret = \"{k}\""]) for k in r.sample(keys, 2)), r.choice(["a", "b", "c", None])) for i in range(60)]
+    made += [(100 + i, f"only here {r.randint(0, 9)}{keys[1][::-1]} x", "a") for i in range(3)]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(3)
+    told = {r.doc_id: (",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.spans), sum(s.verdict == "live" for s in r.spans), sum(s.verdict == "example" for s in r.spans)) for r in secrets.scan_secrets(df).collect()}
+    assert told == plain.spans_of_secrets(made) and sum(x[1] for x in told.values()) > 3 and sum(x[2] for x in told.values()) > 10
+
+
 def test_secrets_of_awkward_rows(awkward, nothing):
     assert secrets.scan_secrets(awkward).count() == len(AWKWARD) and secrets.scan_secrets(nothing).count() == 0
 
@@ -257,6 +271,27 @@ def test_encoding_is_lossless(pieces):
     assert [coder.decode(ids[e - n : e].tolist()).decode() for e, n in zip(ends, counts, strict=True)] == TEXTS
 
 
+def test_samples_against_plain_python(spark, documents, pieces, sf_dir):
+    """The ids of the query, drawn again a string at a time."""
+    import xxhash
+
+    rows = {r.doc_id: r.ids for r in QUERIES["op2_sentencepiece_sampling"](spark, sf_dir).collect()}
+    chance = sentencepiece_sampling.rank_chances(pieces)[:, 0]
+    texts = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
+    texts = [x for x in texts if len(x[1] or "") < 3000][:80]
+    assert len(texts) > 50
+    for i, text in texts:
+        first = xxhash.xxh64_intdigest((20).to_bytes(4, "little"), seed=42)
+        seed = plain.mixed(xxhash.xxh64_intdigest(i.to_bytes(8, "little"), seed=first))
+        assert rows[i] == plain.sampled(text, seed, pieces, chance)
+    odd = [(i, x) for i, x in enumerate([*UNSPACED[:3], "  a  b\n\n c", "日本 " * 9, ""])]
+    for r in sentencepiece_sampling.encode(frame(spark, odd), seed=20).collect():
+        first = xxhash.xxh64_intdigest((20).to_bytes(4, "little"), seed=42)
+        seed = plain.mixed(xxhash.xxh64_intdigest(r.doc_id.to_bytes(8, "little"), seed=first))
+        if max(map(len, (r.text or "").split(" "))) < 600:
+            assert r.pieces.ids == plain.sampled(r.text, seed, pieces, chance)
+
+
 def test_samples_are_reproducible(spark, documents):
     coded = lambda df, **options: {r.doc_id: r.pieces.ids for r in sentencepiece_sampling.encode(df, **options).collect()}
     docs = documents.select("doc_id", "text").limit(60).cache()
@@ -284,6 +319,18 @@ def test_held_out_accuracy(spark, documents, sf_dir):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_languages_against_plain_python(spark, documents, pieces, tmp_path):
+    """The whole result of the query: fitted and asked again a word at a time."""
+    rows = [(r.doc_id, r.text, r.lang) for r in documents.select("doc_id", "text", "lang").collect() if len(r.text or "") < 900][:70]
+    rows += [(10_000, "", "en"), (10_001, None, None), (10_002, "123 456", "de"), (10_003, "日本語 の 文章 と 日本", "ja"), (10_004, "日本 の 言葉", "ja"), (10_005, "文章 の 日本", None)]
+    df = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: (r.lang_pred, r.score) for r in QUERIES["op4_language_id"](spark, str(tmp_path)).collect()}
+    expected = plain.languages(rows, pieces.ids, sum(bool(x) for x in pieces.spelling))
+    assert {i: x[0] for i, x in found.items()} == {i: x[0] for i, x in expected.items()}
+    assert all(abs(found[i][1] - expected[i][1]) < 1e-5 for i in found)
+
+
 def test_no_language_loses_its_words_to_larger_ones(spark):
     large = spark.range(320).select(F.lit("large").alias("lang"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.concat(F.lit("w"), (F.col("id") % 160 * 1000 + i).cast("string"))), " ").alias("text"))
     small = spark.createDataFrame([(f"l{i:03}", f"rare{i}") for i in range(205)], "lang string, text string")
@@ -446,6 +493,19 @@ def test_feistel_by_hand(spark):
     assert df.select(pseudonyms.feistel(F.col("v"), F.col("r"), "key", F.lit("tweak")).alias("x")).first().x == by_hand(values, radixes, "key", "tweak")
 
 
+def test_pseudonyms_against_plain_python(spark, documents, small, sf_dir):
+    """Whole texts and all counts of the query, and of texts full of edges."""
+    for r in QUERIES["op9_pseudonyms"](spark, sf_dir).collect():
+        text = dict(small)[r.doc_id]
+        expected, counts = plain.pseudonyms(text, "leafmill-test-key")
+        assert r.text == expected and [r[f"n_{kind}"] for kind in plain.PRIVATE] == [counts[kind] for kind in plain.PRIVATE]
+    r, parts = random.Random(5), ["4944339490429605", "4944 3394 9042 9605", "3782-822463-10005", "378282246310005", "(469) 555-8958", "+1 469.555.8958", "+49 30 1234567", "+442079460958", "a.B7+x@m-1.example.com", "é@x.de"]
+    parts += ["2021-02-28", "2021-02-29", "28/02/2021", "02/28/2021", "05/06/1999", "31.12.9799", "1000/01/01", "0999-12-31", "123-45-6789", "666-12-3456", "899-99-9999", "61.131.143.218", "256.1.1.1", "1.2.3.4.5", "日本", "x", "-", "7", "(123) 555-1234", "200-300-4000"]
+    docs = [(i, "".join(r.choice(parts) + r.choice([" ", ", ", "\n", "", ".", "/", "é"]) for _ in range(12))) for i in range(150)]
+    for row in pseudonyms.pseudonymise(frame(spark, docs), "k").collect():
+        assert row.pseudonyms.text == plain.pseudonyms(row.text, "k")[0]
+
+
 def test_pseudonyms_of_awkward_rows(awkward, nothing):
     found = pseudonyms.pseudonymise(awkward, "k")
     assert found.columns == [*awkward.columns, "pseudonyms"]
