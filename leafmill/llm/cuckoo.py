@@ -132,12 +132,14 @@ INDEX = "shard int, shards int, digest binary, keep_id long, rows long, n_bucket
 
 def _changed(old: pd.DataFrame, changes: pd.DataFrame, shards: int) -> pd.DataFrame:
     none = lambda x: None if pd.isna(x) else int(x)
-    if len(old):
-        top = old[old.digest.isna()].iloc[0]
-        entries = old[old.digest.notna()]
-        shard = CuckooShard.load(zip(map(bytes, entries.digest), map(none, entries.keep_id), map(int, entries["rows"]), strict=True), int(top.n_buckets), bytes(top["filter"]))
-    else:
-        shard = CuckooShard(len(changes))
+    tops, entries = (old[old.digest.isna()], old[old.digest.notna()]) if len(old) else (old, old)
+    stored = list(zip(map(bytes, entries.digest), map(none, entries.keep_id), map(int, entries["rows"]), strict=True)) if len(entries) else []
+    if len(tops):
+        shard = CuckooShard.load(stored, int(tops.iloc[0].n_buckets), bytes(tops.iloc[0]["filter"]))
+    else:  # new, or dealt anew
+        shard = CuckooShard(len(stored) + len(changes))
+        for digest, keep, rows in stored:
+            shard.add(digest, keep, rows)
     number = int((changes if len(changes) else old).shard.iloc[0])
     for digest, doc_id, added in zip(map(bytes, changes.digest), map(none, changes.doc_id), changes.added, strict=True):
         if added:
@@ -151,7 +153,7 @@ def _changed(old: pd.DataFrame, changes: pd.DataFrame, shards: int) -> pd.DataFr
     return out.astype({"keep_id": "Int64", "rows": "Int64", "n_buckets": "Int64"})
 
 
-def update_index(changes: DataFrame, index: DataFrame | None = None, shards: int | None = None, salts: int = 16) -> DataFrame:
+def update_index(changes: DataFrame, index: DataFrame | None = None, shards: int | None = None, salts: int = 16, shard_digests: int = 50_000) -> DataFrame:
     """Applies changes (digest binary, doc_id long, delta +1 or -1) to an index and returns the new one.
 
     Within a batch insertions come before deletions. The index has a row for each live digest (smallest id ever seen
@@ -159,12 +161,17 @@ def update_index(changes: DataFrame, index: DataFrame | None = None, shards: int
     the digest; deleting an unknown digest does nothing. Null digests are ignored.
 
     Copies are pre-aggregated to `salts` rows for each digest at most before they are dealt to shards by digest, so a
-    digest with a third of all rows weighs as much as any other. A shard holds about 50,000 digests; their number is
-    fixed when the index is first built (`shards`, else from the size of the batch)."""
+    digest with a third of all rows weighs as much as any other. A shard holds about `shard_digests` digests. Their number
+    comes from the size of the first batch, or is given as `shards`. When an index has grown to four times that, its digests are dealt
+    to more shards, whose filters are built anew from the stored keys."""
     changes = changes.where(F.col("digest").isNotNull())
     if index is not None:
-        shards = index.agg(F.max("shards")).first()[0]
-    shards = shards or partitions_for(changes.count(), 50_000, 64)
+        known = index.agg(F.max("shards").alias("shards"), F.count("digest").alias("digests")).first()
+        shards, wanted = known.shards, partitions_for(known.digests + changes.count(), shard_digests, 64)
+        if wanted > 4 * shards:
+            shards = wanted
+            index = index.where(F.col("digest").isNotNull()).withColumns({"shard": shard_of(F.col("digest"), shards), "shards": F.lit(shards)})
+    shards = shards or partitions_for(changes.count(), shard_digests, 64)
     salted = changes.groupBy("digest", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")).agg(
         F.min("doc_id").alias("doc_id"), F.count_if(F.col("delta") > 0).alias("added"), F.count_if(F.col("delta") < 0).alias("removed")
     )
@@ -188,7 +195,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     Texts are equal when their squeezed forms are; a null counts as empty. keep_id is the smallest doc_id of the
     group; null ids count in group_size but stay only where a group has no other id. A repeated row (same id and
-    text) gets the same result each time. Extra columns aren't read.
+    text) gets the same result each time. doc_id is an integer. Extra columns aren't read.
 
     SHA-256 digests are built in the JVM and written once (about 80 bytes a document); the cuckoo index over them gives
     each live digest its keeper, and one join takes that back to the rows. Hot digests split at run time there."""

@@ -70,6 +70,20 @@ def test_index_over_several_batches(spark):
     assert found == {hashlib.sha256(k.encode()).digest(): v for k, v in {"a": (1, 3), "c": (None, 1), "d": (2, 1)}.items()}
 
 
+def test_an_index_that_grows_gets_more_shards(spark):
+    digests = [hashlib.sha256(str(i).encode()).digest() for i in range(900)]
+    batch = lambda lo, hi, delta=1: spark.createDataFrame([(bytearray(digests[i]), i, delta) for i in range(lo, hi)], "digest binary, doc_id long, delta int")
+    index = cuckoo.update_index(batch(0, 40), shards=2)
+    assert {r.shards for r in index.select("shards").distinct().collect()} == {2}
+    index = cuckoo.update_index(batch(20, 900), index, shard_digests=50)
+    index = cuckoo.update_index(batch(100, 200, -1), index, shard_digests=50).cache()
+    found = {bytes(r.digest): (r.keep_id, r.rows, r.shard) for r in index.where("digest is not null").collect()}
+    assert {d: x[:2] for d, x in found.items()} == {digests[i]: (i, 2 if 20 <= i < 40 else 1) for i in range(900) if not 100 <= i < 200}
+    assert {r.shards for r in index.select("shards").distinct().collect()} == {64} and len({x[2] for x in found.values()}) > 40
+    filters = {r.shard: cuckoo.CuckooFilter(r.n_buckets, bytes(r.filter)) for r in index.where("digest is null").collect()}
+    assert all(d in filters[x[2]] for d, x in found.items())
+
+
 # --- line dedup ---
 
 
