@@ -22,9 +22,9 @@ def test_chosen_pages_and_resizing(spark, tmp_path):
     documents, _ = files(spark, tmp_path)
     pages = pdf.render(documents.withColumn("pages", F.array(F.lit(3), F.lit(1), F.lit(3))), pdf.TextRenderer, pages="pages")
     assert sorted(r.page_number for r in pages.collect()) == [1, 1, 3]
-    files = pdf.render_files(documents, pdf.TextRenderer, str(tmp_path / "images"), 72)
-    rows = {(r.text_layer, open(r.image_path, "rb").read(), r.image_path[-14:], r.height) for r in files.collect()}
+    written = pdf.render_files(documents, pdf.TextRenderer, str(tmp_path / "images"), 72)
+    rows = {(r.text_layer, open(r.image_path, "rb").read(), r.image_path[-14:], r.height) for r in written.collect()}
     assert ("three", b"three", "/page_0003.png", 792) in rows and len(rows) == 4
-    smaller = pdf.resize_files(files.withColumn("long_side", F.lit(800)), pdf.TextRenderer, str(tmp_path / "images"), 70)
+    smaller = pdf.resize_files(written.withColumn("long_side", F.lit(800)), pdf.TextRenderer, str(tmp_path / "images"), 70)
     assert sorted(open(r.image_path, "rb").read() for r in smaller.collect()) == [b"800 70 one", b"800 70 single", b"800 70 three", b"800 70 two"]
     assert not [x for x in (tmp_path / "images").rglob(".*")]
