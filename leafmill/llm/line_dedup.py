@@ -76,10 +76,10 @@ def dedup_lines(
     docs = docs.drop(into)
     doc_id = doc_id if doc_id in docs.columns else None
     with scratch() as keep:
-        frequent = keep(cut(frequent_lines(spread(docs), min_docs, min_chars, text, doc_id), "lines"))
+        frequent = cut(frequent_lines(spread(docs), min_docs, min_chars, text, doc_id), "lines")
         if frequent.limit(inline_keys + 1).count() <= inline_keys:
             return _dropped_in_place(docs, frequent, min_chars, text, into)
-        return _dropped_by_join(docs, frequent, min_chars, text, into)
+        return _dropped_by_join(docs, keep(frequent), min_chars, text, into)
 
 
 def _dropped_in_place(docs: DataFrame, frequent: DataFrame, min_chars: int, text: str, into: str) -> DataFrame:
