@@ -20,10 +20,6 @@ KNOWN = {
 }
 
 
-#: Entries of a catalogue; servers list some hundred.
-MOST_ENTRIES = 100_000
-
-
 def entry_limit(entry: Column | None = None) -> Column:
     """The first positive of FIELDS (of the row, or of a struct), CEILING at most; null where there is none."""
     value = lambda f: F.col(f) if entry is None else entry[f]
@@ -40,15 +36,16 @@ def resolve_limits(models: DataFrame, catalogue: DataFrame, model: str = "model"
     """models with ctx_limit: the override if positive; else the catalogue's entry of that name (case-insensitive), or else
     the first whose id contains the name, in the catalogue's order (`pos`), among entries that have a limit; else the table.
 
-    Names are few next to rows: the theta join runs over distinct names, against a catalogue that is read in full for each
-    of them. It is broadcast, and a catalogue of more than MOST_ENTRIES with a limit is refused."""
-    entries = catalogue.select(F.col("pos").alias("_pos"), F.lower(F.coalesce("id", F.lit(""))).alias("_id"), entry_limit().alias("_limit")).where("_limit is not null")
-    if entries.limit(MOST_ENTRIES + 1).count() > MOST_ENTRIES:
-        raise ValueError(f"a catalogue of more than {MOST_ENTRIES} models")
-    names = models.select(F.col(model).alias("_name")).distinct()
-    wanted = F.lower("_name")
-    pairs = names.join(F.broadcast(entries), F.contains(F.col("_id"), wanted))
-    best = pairs.groupBy("_name").agg(F.min_by("_limit", F.struct((F.col("_id") != wanted).alias("tier"), "_pos")).alias("_probed"))
-    joined = models.join(best, models[model].eqNullSafe(F.col("_name")), "left")
+    Neither the catalogue nor the names have a bound. Both are reduced to distinct spellings in lower case first; an id's first
+    entry stands for it. Names that are ids are joined by equality. Each of the others is compared with every id, so these
+    comparisons are distinct names that are no id x distinct ids; nothing is broadcast that Spark doesn't find small."""
+    entries = catalogue.select(F.lower(F.coalesce("id", F.lit(""))).alias("_id"), F.struct(F.col("pos").alias("pos"), entry_limit().alias("limit")).alias("_entry"))
+    ids = entries.where("_entry.limit is not null").groupBy("_id").agg(F.min("_entry").alias("_entry"))
+    names = models.select(F.lower(model).alias("_name")).where("_name is not null").distinct()
+    listed = names.join(ids, F.col("_id") == F.col("_name"), "left").select("_name", "_entry")
+    first = listed.where("_entry is null").select("_name").join(ids, F.contains("_id", "_name")).groupBy("_name").agg(F.min("_entry").alias("_entry"))
+    best = listed.where("_entry is not null").unionByName(first).select("_name", F.col("_entry.limit").alias("_probed"))
+    # Null-safe keys: best is dealt out anew, so Spark sees its size before it picks the join.
+    joined = models.join(best, F.lower(models[model]).eqNullSafe(F.col("_name")), "left")
     forced = F.when(F.col(override) > 0, F.col(override)) if override else F.lit(None).cast("long")
     return joined.withColumn("ctx_limit", F.coalesce(forced, "_probed", known_limit(F.col(model))).cast("long")).drop("_name", "_probed")

@@ -28,6 +28,17 @@ def test_driver_and_table_agree(spark):
     assert table(spark, None).count() == 0
 
 
+def test_catalogue_of_any_size(spark):
+    """240,000 entries: the later half repeats the first one's ids with other limits. Numbers fall, so that longer ids come first."""
+    n = 120_000
+    listed = [{"id": f"Maker/M-{n - i % n}", "context_length": 1 + i} for i in range(2 * n)]
+    catalogue = spark.range(2 * n).selectExpr("id as pos", f"concat('Maker/M-', {n} - id % {n}) as id", *(f"{'id + 1' if f == 'context_length' else 'cast(null as bigint)'} as {f}" for f in FIELDS))
+    names = ["m-119999", "M-11999", "maker/m-7", "MAKER/M-7", "m-7", "", "m-x", "gpt-4o"]
+    found = {r.model: r.ctx_limit for r in resolve_limits(spark.createDataFrame([(x,) for x in [*names, None]], "model string"), catalogue).collect()}
+    assert found == {x: find_limit(x, listed) or 128_000 for x in names} | {None: 128_000}
+    assert found["maker/m-7"] == n - 6 and found["m-7"] == n - 79_998 and found["M-11999"] == 2
+
+
 def test_server_is_asked_with_a_key_only():
     asked = []
     ask = lambda base, key: asked.append((base, key)) or ENTRIES
